@@ -36,7 +36,7 @@ IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
     ("mujeres", "hombres"),
 )
 #: Bounds of the fit: rows of each label, features kept.
-LABEL_ROWS, FEATURES = 6_000, 1_500
+LABEL_ROWS, FEATURES = 6_000, 600
 _SENTENCE = re.compile(r"[^.!?\n]+")
 
 
@@ -85,7 +85,7 @@ class ToxicModel:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit(x: np.ndarray, y: np.ndarray, d: np.ndarray, weight: np.ndarray, l2: float = 2.0, mu: float = 10.0) -> tuple[np.ndarray, float]:
+def fit(x: np.ndarray, y: np.ndarray, d: np.ndarray, weight: np.ndarray, l2: float = 0.1, mu: float = 10.0) -> tuple[np.ndarray, float]:
     """Weights and bias minimising logistic loss + l2/2 |w|^2 + mu/2 |d w|^2; d holds the changes of the features.
 
     `weight` makes up for label rows that were not sampled.
