@@ -171,6 +171,14 @@ def occurrences(s: np.ndarray) -> np.ndarray:
     return out
 
 
+def distinct(s: np.ndarray) -> np.ndarray:
+    """Sorted, each once."""
+    t = np.sort(s)
+    new = np.ones(len(t), dtype=bool)
+    np.not_equal(t[1:], t[:-1], out=new[1:])
+    return t[new]
+
+
 def as_long(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 

@@ -82,17 +82,19 @@ def checked(pairs: DataFrame, texts: DataFrame, check: Callable[[object, object]
     return rows.mapInArrow(run, EDGES)
 
 
-def classes(spark: SparkSession, scratch: Scratch, bands: DataFrame, texts: Callable[[DataFrame], DataFrame], check, prepare, close: str = "true") -> DataFrame:
+def classes(spark: SparkSession, scratch: Scratch, bands: DataFrame, texts: Callable[[DataFrame], DataFrame], check, prepare, similarity: float) -> DataFrame:
     """(node, label) of the components of all pairs that share a band and pass `check`.
 
     `bands` is a written table (node, size, band); `texts` gives (node, text) for a DataFrame of nodes;
-    `close` is an exact condition on the columns a_size and b_size that every passing pair meets.
+    `prepare` turns texts into arrays of `size` distinct shingles, and `check` tells of two of them whether
+    they are linked, which must imply a Jaccard similarity of `similarity` or more.
 
     No step emits all pairs of a band. First every node of a band is checked against the band's least
     node, then against another one if the band still spans several components. Only pairs of a band
-    that lie in different components after that are checked one by one, so no link that joins two
-    classes is lost and pairs within a class are never expanded.
+    that lie in different components after that, and have enough shingles in common with others to pass,
+    are checked one by one, so no link that joins two classes is lost and pairs within a class are never expanded.
     """
+    close = f"least(a_size, b_size) >= {similarity} * greatest(a_size, b_size) - 1e-6"
     shared = scratch.put(bands.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1").select("band", "least"), "shared")
     members = scratch.put(bands.join(small(shared, shared.count(), 48), "band"), "members")
     stored = scratch.put(texts(members.select("node").distinct()), "texts")
@@ -107,28 +109,76 @@ def classes(spark: SparkSession, scratch: Scratch, bands: DataFrame, texts: Call
     done, links = edges(star, "first")
 
     def open_members() -> DataFrame:
-        """Members of the bands that span several components, with their component."""
+        """Members of the bands that span several components, with their component and common shingles."""
         label = components(links, scratch)
         own = members.join(label, "node", "left").select("band", "node", "size", F.coalesce("label", "node").alias("label"))
         wide = own.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band")
-        return scratch.put(own.join(wide, "band"), "open")
+        return _with_common(scratch.put(own.join(wide, "band"), "open"), stored, prepare, scratch, similarity)
+
+    def named(x: str, of: str = "") -> list:
+        return [F.col(f"{of}{c}").alias(f"{x}_{c}" if c != "node" else x) for c in ("node", "size", "label", "common")]
+
+    # an upper bound of the intersection, part by part of the hash range, must reach what the similarity needs
+    both = F.aggregate(F.zip_with("a_common", "b_common", lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x)
+    enough = (F.col("a_label") != F.col("b_label")) & (both * F.lit(1 + similarity) >= F.lit(similarity) * (F.col("a_size") + F.col("b_size")) - 1e-6)
 
     still = open_members()
-    pick = still.groupBy("band").agg(F.min_by(F.struct("node", "size", "label"), F.xxhash64("node", "band")).alias("p"))
-    star = still.join(pick, "band").where("label <> p.label").select(
-        F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"), F.col("p.size").alias("a_size"), F.col("size").alias("b_size")
-    )
+    own = F.struct((F.col("size") - _total("common")) / F.col("size"), F.xxhash64("node", "band"))
+    pick = still.groupBy("band").agg(F.min_by(F.struct("node", "size", "label", "common"), own).alias("p"))
+    star = still.join(pick, "band").select(*named("a", "p."), *named("b")).where(enough)
+    star = star.withColumn("lo", F.least("a", "b")).withColumn("b", F.greatest("a", "b")).select(F.col("lo").alias("a"), "b", "a_size", "b_size")
     tried, more = edges(star.join(done, ["a", "b"], "left_anti"), "second")
     done, links = done.unionByName(tried), links.unionByName(more)
 
     still = open_members()
-    x = still.select("band", F.col("node").alias("a"), F.col("size").alias("a_size"), F.col("label").alias("a_label"))
-    y = still.select("band", F.col("node").alias("b"), F.col("size").alias("b_size"), F.col("label").alias("b_label"))
-    rest = x.join(y, "band").where("a < b and a_label <> b_label")
+    rest = still.select("band", *named("a")).join(still.select("band", *named("b")), "band").where("a < b").where(enough)
     _, more = edges(rest.join(done, ["a", "b"], "left_anti"), "rest")
     return scratch.put(components(links.unionByName(more), scratch), "classes")
 
 
+#: Parts of the hash range for which a node's common shingles are counted apart.
+PARTS = 128
+
+
+def _total(counts: str):
+    return F.aggregate(counts, F.lit(0), lambda t, x: t + x)
+
+
+def _with_common(still: DataFrame, stored: DataFrame, prepare, scratch: Scratch, similarity: float) -> DataFrame:
+    """`still` with `common`: in each part of the hash range, the number of a node's shingles that another node of `still` has too.
+
+    An intersection is no larger than the sum over the parts of the lesser count, so nodes and pairs for
+    which that is too small can't reach `similarity`; leaving those out is exact. It keeps a cloud of
+    copies, each with edits of its own, from being compared with one another.
+    """
+    schema = pa.schema([("s", pa.int64()), ("node", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, len(batch), 256):
+                part = batch.slice(lo, 256)
+                sets = prepare(part.column(1).to_pylist())
+                nodes = np.repeat(part.column(0).to_numpy(), [len(x) for x in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(nodes)], schema=schema)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, len(batch), 256):
+                part = batch.slice(lo, 256)
+                out = []
+                for x, alone in zip(prepare(part.column(1).to_pylist()), part.column(2).to_pylist(), strict=True):
+                    x = x.view(np.int64)
+                    x = x[~np.isin(x, np.array(alone, dtype=np.int64))] if alone else x
+                    out.append(np.bincount(x.view(np.uint64) >> np.uint64(57), minlength=PARTS).tolist())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.list_(pa.int32()))], names=["node", "common"])
+
+    open_texts = stored.join(still.select("node").distinct(), "node").select("node", "text")
+    each = open_texts.mapInArrow(run, "s long, node long")
+    alone = each.groupBy("s").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1").groupBy("node").agg(F.collect_list("s").alias("alone"))
+    common = open_texts.join(alone, "node", "left").mapInArrow(counted, "node long, common array<int>")
+    return scratch.put(still.join(common, "node").where(_total("common") >= similarity * F.col("size") - 1e-6), "common")
+
+
 def in_band(n: int, m: int, similarity: float) -> tuple[int, int]:
     """Least matches and largest shift of an alignment of n with m items at Jaccard `similarity`."""
     need = int(np.ceil(similarity * (n + m) / (1 + similarity) - 1e-9))

@@ -139,8 +139,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, similarity
 
         return got.mapInArrow(same, "node long, text string").dropDuplicates(["node"])
 
-    close = f"least(a_size, b_size) >= {similarity} * greatest(a_size, b_size) - 1e-9"
-    label = classes(spark, scratch, bands, texts, lambda a, b: similar(a, b, similarity), _prepared(k), close)
+    label = classes(spark, scratch, bands, texts, lambda a, b: similar(a, b, similarity), _prepared(k), similarity)
 
     # back to documents: only texts that are in a class of several rows need a join
     node = nodes.join(label, "node", "left").select("key", "rep", F.coalesce("label", "node").alias("label"))
