@@ -20,13 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, U, as_long, chunks, hash_strings, mix, shingles, small
+from .common import WORD, Scratch, U, as_long, chunks, distinct, hash_strings, mix, shingles, small
 from .graph import classes
 
 MIN_WORDS, BLOCK, WINNOW = 40, 25, 26
 #: At Jaccard 0.8 a pair of paragraphs is missed with probability (1 - 0.8^4)^14 = 6e-4.
 BANDS, ROWS = 14, 4
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * U(0x51_7C_C1_B7_27_22_0A_95)) | U(1)
+#: Factors of a multilinear hash of a block's words or a band's rows.
+_ODD = mix(np.arange(1, BLOCK + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15)) | U(1)
 
 
 def folded(text: str) -> str:
@@ -40,10 +42,7 @@ def minhash_bands(s: np.ndarray) -> np.ndarray:
     out = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
     for lo in range(0, len(s), 1 << 14):
         np.minimum(out, (_SEEDS[:, None] * s[None, lo : lo + (1 << 14)]).min(axis=1), out=out)
-    acc = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for r in range(ROWS):
-        acc = mix(acc ^ out[r::ROWS])
-    return acc
+    return mix((out.reshape(BANDS, ROWS) * _ODD[:ROWS]).sum(axis=1) + np.arange(1, BANDS + 1, dtype=np.uint64))
 
 
 def blocks(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -57,10 +56,7 @@ def blocks(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     else:
         seen = np.lib.stride_tricks.sliding_window_view(rank, WINNOW)
         starts = np.unique(np.arange(len(seen)) + seen.argmin(axis=1))
-    h = np.zeros(len(starts), dtype=np.uint64)
-    for j in range(BLOCK):
-        h = mix(h ^ w[starts + j])
-    return starts, h
+    return starts, mix((w[starts[:, None] + np.arange(BLOCK)] * _ODD).sum(axis=1))
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -102,7 +98,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, scratch: Scratch, simil
             for i, lines, w in _lines(b.column(1).to_pylist()):
                 for k, at, ws in lines:
                     if len(ws) >= MIN_WORDS:
-                        s = np.unique(shingles(ws, 5))
+                        s = distinct(shingles(ws, 5))
                         para.append((ids[i], k, at, len(ws), len(s), hashlib.md5(ws.tobytes()).digest(), as_long(minhash_bands(s))))
                 starts, h = blocks(w)
                 whose.append(np.full(len(starts), ids[i]))
@@ -122,7 +118,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, scratch: Scratch, simil
     least = F.min(F.struct("doc_id", "first")).alias("keep")
     twice = block.groupBy("hash").agg(least, F.max("doc_id").alias("last")).where("keep.doc_id <> last").select("hash", F.col("keep.doc_id").alias("keeper"))
     twice = scratch.put(twice, "blocks")
-    spans = block.join(small(twice, twice.count(), 48), "hash").select("doc_id", "first", "n", F.concat(F.lit("b"), F.hex("hash")).alias("class_id"), "keeper")
+    spans = block.join(small(twice, twice.count(), 96), "hash").select("doc_id", "first", "n", F.concat(F.lit("b"), F.hex("hash")).alias("class_id"), "keeper")
 
     # paragraphs: equal ones are one node; bands propose pairs of nodes
     para = units.where("key is not null")
@@ -152,10 +148,9 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, scratch: Scratch, simil
         return got.mapInArrow(cut, "node long, text string").dropDuplicates(["node"])
 
     def prepare(lines: list[str]) -> list[np.ndarray]:
-        return [np.unique(shingles(hash_strings(WORD.findall(folded(x))), 5)) for x in lines]
+        return [distinct(shingles(hash_strings(WORD.findall(folded(x))), 5)) for x in lines]
 
-    close = f"least(a_size, b_size) >= {similarity} * greatest(a_size, b_size) - 1e-9"
-    label = classes(spark, scratch, bands, texts, lambda a, b: jaccard(a, b) >= similarity, prepare, close)
+    label = classes(spark, scratch, bands, texts, lambda a, b: jaccard(a, b) >= similarity, prepare, similarity)
     named = node.join(label, "node", "left").select("key", F.coalesce("label", "node").alias("label"))
     own = para.select("key", "doc_id", "first", "n").join(named, "key")
     two = own.groupBy("label").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("keeper <> last").select("label", "keeper")
@@ -163,14 +158,20 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, scratch: Scratch, simil
     return spans.unionByName(more).withColumn("removed", F.col("doc_id") != F.col("keeper")).distinct()
 
 
-def _merged(spans: list[dict]) -> list[list[int]]:
-    out: list[list[int]] = []
-    for a, b in sorted((s["first"], s["first"] + s["n"]) for s in spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return out
+def merged(row: np.ndarray, first: np.ndarray, n: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unions of the spans of each row: firsts, lasts (excluded), and where each of `rows` rows begins in them."""
+    if not len(row):
+        return first, first, np.zeros(rows + 1, dtype=np.int64)
+    wide = int((first + n).max()) + 2  # so that spans of two rows never touch
+    a = row * wide + first
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], (row * wide + first + n)[order]
+    top = np.maximum.accumulate(b)
+    new = np.ones(len(a), dtype=bool)
+    new[1:] = a[1:] > top[:-1]
+    at = np.flatnonzero(new)
+    last = top[np.append(at[1:], len(a)) - 1]
+    return a[at] % wide, last % wide, np.searchsorted(row[order][at], np.arange(rows + 1))
 
 
 REPORT = "doc_id long, n_repeated_words long, n_removed_words long, spans array<struct<first:long,last:long>>, removed_spans array<struct<first:long,last:long>>, class_ids array<string>, keepers array<long>"
@@ -192,18 +193,22 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, similarity: float =
     """
     scratch = Scratch(spark, "passages")
     spans = repeated_spans(spark, docs, scratch, similarity)
-    per = spans.groupBy("doc_id").agg(F.collect_list(F.struct("first", "n", "removed")).alias("spans"), F.collect_set("class_id").alias("class_ids"), F.collect_set("keeper").alias("keepers"))
+    per = spans.groupBy("doc_id").agg(
+        F.collect_list("first").alias("first"), F.collect_list("n").alias("n"), F.collect_list("removed").alias("removed"),
+        F.sort_array(F.collect_set("class_id")).alias("class_ids"), F.sort_array(F.collect_set("keeper")).alias("keepers"),
+    )
+    names = [x.split()[0] for x in ("doc_id", "n_repeated_words", "n_removed_words", "spans", "removed_spans", "class_ids", "keepers")]
 
     def run(batches):
-        pair = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
         for b in batches:
-            every = [_merged(s) for s in b.column(1).to_pylist()]
-            gone = [_merged([x for x in s if x["removed"]]) for s in b.column(1).to_pylist()]
-            words = [[sum(y - x for x, y in m) for m in ms] for ms in (every, gone)]
-            lists = [pa.array([[{"first": x, "last": y} for x, y in m] for m in ms], pair) for ms in (every, gone)]
-            ids = pa.array([sorted(x) for x in b.column(2).to_pylist()], pa.list_(pa.string()))
-            keep = pa.array([sorted(x) for x in b.column(3).to_pylist()], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words[0], pa.int64()), pa.array(words[1], pa.int64()), *lists, ids, keep], names=[x.split()[0] for x in ("doc_id", "n_repeated_words", "n_removed_words", "spans", "removed_spans", "class_ids", "keepers")])
+            first, n, gone = (b.column(j).flatten().to_numpy(zero_copy_only=False) for j in (1, 2, 3))
+            row = np.repeat(np.arange(len(b)), b.column(1).value_lengths().to_numpy())
+            words, lists = [], []
+            for keep in (np.ones(len(row), dtype=bool), gone):
+                x, y, at = merged(row[keep], first[keep], n[keep], len(b))
+                words.append(pa.array(np.diff(np.concatenate([[0], np.cumsum(y - x)])[at]), pa.int64()))
+                lists.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.StructArray.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["first", "last"])))
+            yield pa.RecordBatch.from_arrays([b.column(0), *words, *lists, b.column(4), b.column(5)], names=names)
 
     return per.mapInArrow(run, REPORT)
 
