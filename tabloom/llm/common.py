@@ -38,6 +38,17 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+#: Rows that go to a Python kernel at once: whole texts are held twice on either side of the pipe.
+ARROW_ROWS = 1_000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batch size to ARROW_ROWS, so that a kernel's memory doesn't hang on the default of 10,000 texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
 class Scratch:
     """Cuts lineage by written tables in the shared folder, so that a lost executor costs no rerun.
 
@@ -46,6 +57,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, what: str):
+        bounded_batches(spark)
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/tabloom-{what}-{uuid.uuid4().hex[:12]}", 0
         atexit.register(self._end)
 

@@ -125,7 +125,8 @@ def line_key(line: str, min_chars: int) -> bytes | None:
 
 
 def _shard_of(n_shards: int):
-    return F.pmod(F.xxhash64("key"), F.lit(n_shards)).cast("int")
+    """Shard by the first four bytes of the key, as _probed computes it too."""
+    return F.pmod(F.conv(F.hex(F.substring("key", 1, 4)), 16, 10).cast("long"), F.lit(n_shards)).cast("int")
 
 
 class LineIndex:
@@ -210,27 +211,26 @@ def _postings(docs: DataFrame, min_chars: int) -> DataFrame:
 
 def _probed(docs: DataFrame, min_chars: int, held, n_shards: int) -> DataFrame:
     """As _postings, but only the keys that their shard's filter may hold."""
-    found = _postings_sharded(docs, min_chars, n_shards)
 
     def run(batches):
         filters = held.value
         for b in batches:
-            keys, shards = b.column("key").to_pylist(), b.column("shard").to_numpy()
+            keys, ids = [], []
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                ks = _row_keys(t, min_chars)
+                keys += ks
+                ids += [i] * len(ks)
             keep = np.zeros(len(keys), dtype=bool)
             if keys:
                 w = _words(keys)
+                shards = w[:, 0].astype(np.uint32).byteswap() % np.uint32(n_shards)
                 for s in np.unique(shards).tolist():
                     if s in filters:
                         at = np.flatnonzero(shards == s)
                         keep[at] = filters[s].contains(w[at])
-            out = b.filter(pa.array(keep))
-            yield pa.RecordBatch.from_arrays([out.column("key"), out.column("doc_id")], schema=OUT)
-
-    return found.mapInArrow(run, "key binary, doc_id long")
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ids, pa.int64())], schema=OUT).filter(pa.array(keep))
 
-
-def _postings_sharded(docs: DataFrame, min_chars: int, n_shards: int) -> DataFrame:
-    return _postings(docs, min_chars).withColumn("shard", _shard_of(n_shards))
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "key binary, doc_id long")
 
 
 def _counted(postings: DataFrame) -> DataFrame:
