@@ -11,20 +11,25 @@ def read_stream(spark: SparkSession, path: str, like: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(like).schema).parquet(path)
 
 
+def _marked(events: DataFrame, ts: str, late: str) -> DataFrame:
+    """With a watermark; a stream's event time must be a timestamp with a zone."""
+    return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late) if events.isStreaming else events
+
+
 def deduplicated(events: DataFrame, keys: list[str], ts: str = "ts", late: str = "1 hour") -> DataFrame:
     """First arrivals of a key within the watermark; state is dropped behind it."""
     if not events.isStreaming:
         return events.dropDuplicates(keys)
-    return events.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
+    return _marked(events, ts, late).dropDuplicatesWithinWatermark(keys)
 
 
 def tumbling(events: DataFrame, every: str, keys: list[str], ts: str = "ts", late: str = "1 hour") -> DataFrame:
     """(keys, start, n, total): counts and sums of value by tumbling windows."""
-    w = events.withWatermark(ts, late).groupBy(F.window(ts, every), *keys).agg(F.count("*").alias("n"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("total"))
+    w = _marked(events, ts, late).groupBy(F.window(ts, every), *keys).agg(F.count("*").alias("n"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("total"))
     return w.select(*keys, F.col("window.start").alias("start"), "n", "total")
 
 
 def sessions(events: DataFrame, gap: str, key: str, ts: str = "ts", late: str = "1 hour") -> DataFrame:
     """(key, start, n): activity sessions closed by a gap."""
-    w = events.withWatermark(ts, late).groupBy(F.session_window(ts, gap), key).agg(F.count("*").alias("n"))
+    w = _marked(events, ts, late).groupBy(F.session_window(ts, gap), key).agg(F.count("*").alias("n"))
     return w.select(key, F.col("session_window.start").alias("start"), "n")
