@@ -125,10 +125,11 @@ def matches(template: list[str], raw: list[str], h: np.ndarray, block: Block, wi
         places = sorted({a + j for a in ats for j in range(width)})
         spots = [j for j in places if j + shift < len(raw)]
         slot = [it_template[j] for j in spots]
-        ok = consistent([it_raw[j] for j in spots], [raw[j + shift] for j in spots], slot)
+        mine, theirs = [it_raw[j] for j in spots], [raw[j + shift] for j in spots]
+        ok = consistent(mine, theirs, slot)
         found = (len(ats) / n >= COVERAGE or longest + width - 1 >= RUN) and ok
-        # a template of little but placeholders says nothing
-        found = found and 2 * sum(s[0] != "<" for s in slot) >= len(slot)
+        # a template of little but placeholders says nothing, unless the words behind it agree
+        found = found and (mine == theirs or 2 * sum(s[0] != "<" for s in slot) >= len(slot))
         if found and (i not in best or len(ats) > best[i][1]):
             best[i] = (item_id, len(ats), n, longest + width - 1, sum(s[0] == "<" for s in slot), shift)
     return [best[i] for i in sorted(best)]
@@ -156,7 +157,7 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, win
     out = None
     for k in range(n):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
-        block = Block.of(sorted(((r["item_id"], r["text"]) for r in rows), key=lambda r: (r[0] is None, r)), window)
+        block = Block.of(sorted(((r["item_id"], r["text"]) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")), window)
         found = _searched(docs, spark.sparkContext.broadcast(block), window)
         out = found if out is None else out.unionByName(found)
     return out

@@ -156,7 +156,7 @@ def _measure(root: Node) -> list[Node]:
         if x.tag == "a":
             x.linked = x.size
         direct[id(x)] = (own + flow, commas)
-        if x.tag in BLOCK and own + flow > 0:
+        if (x.tag in BLOCK or x is root) and own + flow > 0:
             points = 1 + commas + min((own + flow) / 100, 3)
             up, level = (x if x.tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "li", "td", "blockquote", "dd", "dt", "figcaption") else x.parent), 0
             while up is not None and level < 5:

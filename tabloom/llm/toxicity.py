@@ -163,7 +163,7 @@ def learn(docs: DataFrame, labels: DataFrame, terms=IDENTITY_TERMS) -> ToxicMode
     label = np.array([1.0 if r[1] == 1 else 0.0 for r in got])
     full1, full0 = sizes.get(1, 0), sum(v for k, v in sizes.items() if k != 1)
     weight = np.where(label == 1, full1 / n1, full0 / n0)
-    w, bias = fit(x, label, np.array(change, dtype=np.float32).reshape(-1, len(vocabulary)), weight)
+    w, bias = fit(x, label, np.array(change, dtype=np.float32).reshape(len(change), len(vocabulary)), weight)
     return ToxicModel(vocabulary, w, bias)
 
 
