@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -105,3 +106,68 @@ def similarity(cols_a: Column, tokens_a: Column, cols_b: Column, tokens_b: Colum
 
 def title_tokens(x: Column | str) -> Column:
     return header_tokens(F.regexp_replace(col(x), " / ", " "))
+
+
+def parse_sections(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """As parse(), with the section that a row stands in: (key, title, section, headers, row_idx, is_total, cells).
+
+    A section is a line `**LABEL**` or a row with only its first cell filled. A later header of twice as many
+    columns or more begins the table anew; repeated headers are dropped. Sequential, hence one pass in Python.
+    """
+    schema = f"{key} {docs.schema[key].dataType.simpleString()}, title string, section string, headers array<string>, row_idx int, is_total boolean, cells array<string>"
+
+    def run(batches):
+        for b in batches:
+            out = {c: [] for c in ("k", "title", "section", "headers", "row_idx", "is_total", "cells")}
+            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for row in section_rows(t or ""):
+                    for c, v in zip(out, (k, *row), strict=True):
+                        out[c].append(v)
+            types = [b.schema.field(0).type, pa.string(), pa.string(), pa.list_(pa.string()), pa.int32(), pa.bool_(), pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], names=[key, *list(out)[1:]])
+
+    return docs.select(key, normalize_text(text).alias(text)).mapInArrow(run, schema)
+
+
+def section_rows(text: str) -> list[tuple]:
+    """(title, section, headers, row_idx, is_total, cells) of one text."""
+    title = section = headers = None
+    rows: list[tuple] = []
+    for line in text.split("\n"):
+        line = line.strip()
+        if line.startswith("## "):
+            title = line[3:].strip()
+        elif line.startswith("**") and line.endswith("**") and len(line) > 4:
+            section = line[2:-2].strip()
+        elif line.startswith("|"):
+            total = line.startswith("||")
+            cells = [c.strip() for c in line[1 + total :].removesuffix("|").split("|")]
+            if all(set(c) <= set("-:") for c in cells) and any(cells):
+                continue
+            if headers is None or len(cells) >= 2 * len(headers):
+                headers, rows, section = cells, [], None if headers else section
+            elif cells == headers:
+                continue
+            elif not total and len(cells) > 1 and cells[0] and not any(cells[1:]):
+                section = cells[0]
+            else:
+                rows.append((title, section, headers, len(rows), total, (cells + [""] * len(headers))[: max(len(headers), len(cells))]))
+    return rows
+
+
+def map_transposed(rows: DataFrame, aliases: DataFrame, columns: list[str]) -> DataFrame:
+    """Records from tables whose first column holds the aliases and each further column one record.
+
+    Tables of two to five columns of which at least half the schema's columns are matched; others give
+    nothing. The last of several aliases for a label wins.
+    """
+    keep = [c for c in rows.columns if c not in ("headers", "cells", "row_idx", "is_total")]
+    every = rows.where(F.size("cells").between(2, 5))
+    # the header row is a labelled row like the others
+    first = every.select(*keep, F.col("headers").alias("cells")).distinct()
+    both = first.unionByName(every.select(*keep, "cells"))
+    look = F.broadcast(aliases.groupBy(normalize_alias("alias").alias("tb_alias")).agg(F.max("column").alias("tb_column")))
+    hit = both.join(look, normalize_alias(F.col("cells")[0]) == F.col("tb_alias"))
+    cells = hit.select(*keep, "tb_column", F.posexplode(F.slice("cells", 2, 4)).alias("record_idx", "value"))
+    out = cells.groupBy(*keep, "record_idx").agg(F.countDistinct("tb_column").alias("tb_n"), *[F.max(F.when(F.col("tb_column") == c, F.col("value"))).alias(c) for c in columns])
+    return out.where(F.col("tb_n") * 2 >= len(columns)).drop("tb_n")

@@ -12,6 +12,8 @@ from .functions import values as V
 from .operators import grid as G
 from .operators import ontology as O
 from .operators import tables as P
+from .operators.fuzzy import best_term
+from .operators.metadata import Field, quick_scan, with_fallbacks
 from .plans.contract import Contract, interpret
 from .session import table
 from .streaming import events as S
@@ -395,3 +397,50 @@ g AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS B
 SELECT user_id, min(ts) AS start, count(*) AS n FROM g GROUP BY user_id, k""")
 def stream_session(spark, sf):
     return S.sessions(table(spark, sf, "events"), "30 minutes", "user_id")
+
+
+# --- sections, transposed tables, titles, metadata ------------------------------------------
+
+
+@query("""SELECT r_name AS section, n_name AS nation, n_nationkey::VARCHAR AS key FROM nation JOIN region ON n_regionkey = r_regionkey""")
+def unpivot_with_sections(spark, sf):
+    n = table(spark, sf, "nation").join(F.broadcast(table(spark, sf, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    line = F.struct("n_name", T.pipe_row(F.array("n_name", F.col("n_nationkey").cast("string"))).alias("t"))
+    part = n.groupBy("r_name").agg(F.array_sort(F.collect_list(line)).alias("rows"))
+    block = F.concat_ws("\n", F.concat(F.lit("**"), "r_name", F.lit("**")), F.lit("| Nation | Key |"), F.transform("rows", lambda r: r["t"]))
+    text = part.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r_name", block.alias("t")))), lambda s: s["t"]), "\n").alias("text")).withColumn("doc", F.lit(1))
+    rows = P.parse_sections(text, "doc")
+    return rows.select("section", F.col("cells")[0].alias("nation"), F.col("cells")[1].alias("key"))
+
+
+@query("""SELECT r_name AS region, count(*)::VARCHAR AS nations, sum(n_nationkey)::VARCHAR AS keys FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1""")
+def transposed_report(spark, sf):
+    n = table(spark, sf, "nation").join(F.broadcast(table(spark, sf, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    per = n.groupBy("n_regionkey", "r_name").agg(F.count("*").cast("string").alias("c"), F.sum("n_nationkey").cast("string").alias("s"))
+    row = lambda label, c: T.pipe_row(F.array(F.lit(label), F.col(c)))
+    docs = per.select(F.col("n_regionkey").alias("doc"), F.concat_ws("\n", row("Region name", "r_name"), F.lit("|---|---|"), row("Number of nations", "c"), row("Key sum", "s")).alias("text"))
+    aliases = spark.createDataFrame([("region NAME", "region"), ("Number of nations", "nations"), ("key  sum", "keys")], "alias string, column string")
+    return P.map_transposed(P.parse(docs).drop("title"), aliases, ["region", "nations", "keys"]).select("region", "nations", "keys")
+
+
+@query("""SELECT n_nationkey, n_name AS term, 100.0::DOUBLE AS score FROM nation WHERE n_nationkey < 6""")
+def fuzzy_title_join(spark, sf):
+    n = table(spark, sf, "nation")
+    terms = [r["n_name"] for r in n.where("n_nationkey < 6").orderBy("n_nationkey").collect()]  # a title filter's few terms
+    hit = n.select("n_nationkey", best_term(F.lower("n_name"), terms, 99.0).alias("b"))
+    return hit.where("b.term is not null").select("n_nationkey", "b.term", "b.score")
+
+
+META = [Field("contact", patterns=(r"([0-9a-z._]+@[a-z0-9.]+)",)), Field("licence", category_patterns=(r"(?i)licensed under the ([A-Z][A-Za-z ]+?)(?:,|\.)",), default="unknown"), Field("none", patterns=(r"\bnever-there-\d\b",), required=True)]
+
+
+@query("""WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents), l AS (SELECT doc_id, unnest(a) AS line, generate_subscripts(a, 1) AS i FROM s),
+c AS (SELECT doc_id, regexp_extract(line, '([0-9a-z._]+@[a-z0-9.]+)', 1) AS v, i FROM l WHERE regexp_matches(line, '([0-9a-z._]+@[a-z0-9.]+)')),
+k AS (SELECT doc_id, regexp_extract(line, '(?i)licensed under the ([A-Z][A-Za-z ]+?)(?:,|\\.)', 1) AS v, i FROM l WHERE regexp_matches(line, '(?i)licensed under the ([A-Z][A-Za-z ]+?)(?:,|\\.)'))
+SELECT doc_id, 'contact' AS field, first(v ORDER BY i) AS value, CASE WHEN first(v ORDER BY i) IS NULL THEN 0.0 ELSE 0.9 END::DOUBLE AS confidence, false AS is_missing FROM documents LEFT JOIN c USING (doc_id) GROUP BY doc_id
+UNION ALL SELECT doc_id, 'licence', coalesce(first(v ORDER BY i), 'unknown'), CASE WHEN first(v ORDER BY i) IS NULL THEN 0.5 ELSE 0.7 END, false FROM documents LEFT JOIN k USING (doc_id) GROUP BY doc_id
+UNION ALL SELECT doc_id, 'none', NULL, 0.0, true FROM documents""")
+def metadata_quick_scan(spark, sf):
+    lines = table(spark, sf, "documents").select("doc_id", F.lit(0).alias("page_no"), F.size(F.split("text", "\n")).alias("n"), F.posexplode(F.split("text", "\n")).alias("i", "text"))
+    lines = lines.select("doc_id", "page_no", ((F.col("i") + 0.5) / F.col("n")).alias("y"), "text")
+    return with_fallbacks(quick_scan(lines, "doc_id", META), "doc_id", META)
