@@ -36,6 +36,13 @@ def mode_first(df: DataFrame, part: list[str], order: str, value: str) -> DataFr
     return counts.withColumn("rn", F.row_number().over(w)).where("rn = 1").select(*part, value, "n")
 
 
+def top_counts(df: DataFrame, part: list[str], value: str, top: int) -> DataFrame:
+    """(part, value, seen): the most frequent values of two or more that are seen twice or more, the least first on a tie."""
+    counts = df.where(F.col(value) >= 2).groupBy(*part, value).agg(F.count("*").alias("seen")).where("seen >= 2")
+    w = Window.partitionBy(*part).orderBy(F.desc("seen"), value)
+    return counts.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= top).drop("rn")
+
+
 def upper_median(df: DataFrame, part: list[str], value: str, out: str) -> DataFrame:
     """The element at n div 2 of the sorted values, by rank rather than by gathering a group's values."""
     w = Window.partitionBy(*part)

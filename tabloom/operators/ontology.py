@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import normalize_alias
+
 
 def narrower(triples: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     """(concept, level): roots and what is narrower to `depth`, each concept at its least level, cycles cut.
@@ -60,6 +62,20 @@ def unmatched(headers: DataFrame, aliases: DataFrame, key: str) -> DataFrame:
     return headers.join(F.broadcast(aliases.select(key).distinct()), key, "left_anti")
 
 
+def match_headers(headers: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Headers (header) with `column` and `exact`: by normalised alias (alias, column), else by the text before the first comma.
+
+    An alias of several columns gives a row for each; a header that matches neither way keeps null.
+    """
+    known = aliases.select(normalize_alias("alias").alias("tb_alias"), "column").distinct()
+    keyed = headers.withColumn("tb_key", normalize_alias("header")).withColumn("tb_head", F.trim(F.substring_index("tb_key", ",", 1)))
+    whole = known.select(F.col("tb_alias").alias("tb_key"), F.col("column").alias("tb_whole"))
+    part = known.select(F.col("tb_alias").alias("tb_head"), F.col("column").alias("tb_part"))
+    first = keyed.join(whole, "tb_key", "left")
+    rest = first.where("tb_whole is null").drop("tb_whole").join(part, "tb_head", "left").withColumn("exact", F.lit(False)).withColumnRenamed("tb_part", "column")
+    return first.where("tb_whole is not null").withColumn("exact", F.lit(True)).withColumnRenamed("tb_whole", "column").unionByName(rest).drop("tb_key", "tb_head")
+
+
 def to_triples(rows: DataFrame, subject: str, columns: dict[str, str]) -> DataFrame:
     """(subject, predicate, object, datatype): a triple per non-empty cell; `columns` gives datatypes."""
     cells = F.array(*[F.struct(F.lit(c).alias("predicate"), F.col(c).cast("string").alias("object"), F.lit(t).alias("datatype")) for c, t in columns.items()])

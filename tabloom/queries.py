@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .functions import values as V
 from .operators import grid as G
+from .operators import layout as L
 from .operators import ontology as O
+from .operators import sheets as X
 from .operators import tables as P
 from .operators.fuzzy import best_term
 from .operators.metadata import Field, quick_scan, with_fallbacks
+from .plans import draft as D
 from .plans.contract import Contract, interpret
 from .session import table
 from .streaming import events as S
@@ -444,3 +447,155 @@ def metadata_quick_scan(spark, sf):
     lines = table(spark, sf, "documents").select("doc_id", F.lit(0).alias("page_no"), F.size(F.split("text", "\n")).alias("n"), F.posexplode(F.split("text", "\n")).alias("i", "text"))
     lines = lines.select("doc_id", "page_no", ((F.col("i") + 0.5) / F.col("n")).alias("y"), "text")
     return with_fallbacks(quick_scan(lines, "doc_id", META), "doc_id", META)
+
+
+# --- layout, sheets and drafting ------------------------------------------------------------
+
+
+def _spans(spark, sf):
+    """Line items as text spans: an order is a page, its flags and parts stand at made-up positions."""
+    n, q, text = F.col("l_linenumber"), F.col("l_quantity").cast("int"), F.concat("l_returnflag", F.col("l_partkey").cast("string"))
+    return table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("doc"), F.lit(0).alias("page_no"), (n * 40.5).alias("x"), (q % 9 * 2.5).alias("y"),
+        (F.length(text) * (5.0 + n % 2)).alias("width"), text.alias("text"), n.alias("n"),
+    )
+
+
+_SPANS = """s AS (SELECT l_orderkey AS doc, l_linenumber * 40.5::DOUBLE AS x, (l_quantity::INT % 9) * 2.5::DOUBLE AS y, length(l_returnflag || l_partkey) * (5.0::DOUBLE + l_linenumber % 2) AS width, l_returnflag || l_partkey AS text, l_linenumber AS n FROM lineitem),
+p AS (SELECT doc, median(width / length(text)) AS cell_w, min(x) AS x_min FROM s GROUP BY doc),
+d AS (SELECT doc, y, CASE WHEN y - lag(y) OVER (PARTITION BY doc ORDER BY y) > 4 THEN 1 ELSE 0 END AS new FROM (SELECT DISTINCT doc, y FROM s)),
+r AS (SELECT doc, y, sum(new) OVER (PARTITION BY doc ORDER BY y) AS "row" FROM d),
+l AS (SELECT doc, n, text, "row"::INT AS "row", round_even((x - x_min) / cell_w, 0)::INT AS col FROM s JOIN r USING (doc, y) JOIN p USING (doc))"""
+
+
+@query(f"""WITH {_SPANS} SELECT doc, n, text, "row", col FROM l""")
+def page_layout(spark, sf):
+    return L.page_layout(_spans(spark, sf), 4.0).select("doc", "n", "text", "row", "col")
+
+
+@query(f"""WITH {_SPANS}, k AS (SELECT doc, "row", count(*) AS n, min(col) AS first FROM l GROUP BY ALL), c AS (SELECT doc, count(DISTINCT col) AS n_columns FROM l GROUP BY doc)
+SELECT doc, count(*) >= 3 AND any_value(n_columns) <= 5 AND var_pop(n) <= 2.0 AND avg((first <= 3)::INT) >= 0.8 AS is_transposed FROM k JOIN c USING (doc) GROUP BY doc""")
+def transposed_test(spark, sf):
+    spans = L.page_layout(_spans(spark, sf), 4.0)
+    wide = spans.groupBy(*L.PAGE).agg(F.countDistinct("col").alias("n_columns"))
+    return L.transposed(spans, wide).select("doc", "is_transposed")
+
+
+@query()
+def page_regions(spark, sf):
+    return L.regions(L.page_layout(_spans(spark, sf), 4.0)).drop("page_no")
+
+
+@query("""WITH c AS (SELECT DISTINCT o_custkey AS doc, floor(o_totalprice)::BIGINT AS start FROM orders), g AS (SELECT *, start - lag(start) OVER (PARTITION BY doc ORDER BY start) AS gap FROM c),
+m AS (SELECT doc, gap AS mid FROM g WHERE gap IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc ORDER BY gap) = count(*) OVER (PARTITION BY doc) // 2 + 1)
+SELECT doc, start, sum(CASE WHEN gap > 3.0 * mid THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY start)::BIGINT AS grid FROM g LEFT JOIN m USING (doc)""")
+def side_by_side(spark, sf):
+    starts = table(spark, sf, "orders").select(F.col("o_custkey").alias("doc"), F.floor("o_totalprice").alias("start")).distinct()
+    return L.side_by_side(starts, ["doc"]).withColumn("grid", F.col("grid").cast("bigint"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, (l_linenumber & 16) <> 0 OR l_returnflag = 'R' AS is_bold, (l_linenumber & 1) <> 0 AS is_italic, CASE WHEN l_partkey <> 0 THEN ((l_partkey >> 8) & 255) / 255.0::DOUBLE END AS green FROM lineitem""")
+def font_flags(spark, sf):
+    spans = table(spark, sf, "lineitem").withColumns({"font": F.when(F.col("l_returnflag") == "R", "Sans-Black").otherwise("Sans"), "flags": F.col("l_linenumber").cast("int"), "color": F.col("l_partkey").cast("int")})
+    return L.decode_fonts(spans).select("l_orderkey", "l_linenumber", "l_partkey", "is_bold", "is_italic", F.col("rgb.g").alias("green"))
+
+
+@query()
+def font_size_tiers(spark, sf):
+    return L.size_tiers(table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_quantity").alias("size")), ["doc"])
+
+
+@query("""WITH d AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity::DOUBLE AS w, l_linenumber::DOUBLE AS h, l_returnflag = 'A' AS stroke FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN stroke AND w > h THEN 'h' WHEN stroke THEN 'v' WHEN h < 2 AND w > 5 * h THEN 'h' WHEN w < 2 AND h > 5 * w THEN 'v' ELSE 'fill' END AS kind FROM d""")
+def drawing_kinds(spark, sf):
+    d = table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", F.when(F.col("l_returnflag") == "A", "s").otherwise("f").alias("type"), F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"),
+        F.col("l_quantity").cast("double").alias("x1"), F.col("l_linenumber").cast("double").alias("y1"), F.lit(1.0).alias("stroke"),
+    )
+    return L.classify_drawings(d).select("l_orderkey", "l_linenumber", "l_partkey", "kind")
+
+
+@query("""WITH c AS (SELECT DISTINCT o_custkey AS t, o_orderkey // 8 AS r FROM orders), g AS (SELECT t, r, CASE WHEN r - lag(r) OVER (PARTITION BY t ORDER BY r) > 200 THEN 1 ELSE 0 END AS new FROM c),
+b AS (SELECT t, r, sum(new) OVER (PARTITION BY t ORDER BY r) AS band FROM g), z AS (SELECT t, band, max(r) - min(r) + 1 AS h, count(*) AS n FROM b GROUP BY ALL),
+k AS (SELECT t, n, row_number() OVER (PARTITION BY t ORDER BY band) - 1 AS region FROM z WHERE h >= 2)
+SELECT t, region::BIGINT AS region, n * 2 AS cells FROM k UNION ALL SELECT t, 0, sum(n)::BIGINT * 2 FROM z WHERE t NOT IN (SELECT t FROM k) GROUP BY t""")
+def blank_run_regions(spark, sf):
+    rows = table(spark, sf, "orders").select(F.col("o_custkey").alias("t"), F.expr("o_orderkey div 8").alias("row")).distinct()
+    cells = rows.select("t", "row", F.explode(F.array(F.lit(0), F.lit(1))).alias("col"), F.lit("x").alias("text"))
+    return X.regions(cells, ["t"], gap_rows=200).groupBy("t", F.col("region").cast("bigint").alias("region")).agg(F.count("*").alias("cells"))
+
+
+@query("""WITH c AS (SELECT o_custkey, max(o_orderkey) AS last FROM orders GROUP BY 1) SELECT o_custkey, count(*) AS kept FROM orders JOIN c USING (o_custkey) WHERE NOT (o_orderkey = last AND o_orderstatus = 'F') GROUP BY 1""")
+def totals_row_drop(spark, sf):
+    word = F.when(F.col("o_orderstatus") == "F", " Total ").otherwise("row")
+    cells = table(spark, sf, "orders").select("o_custkey", F.col("o_orderkey").alias("row"), F.lit(0).alias("col"), word.alias("text"), F.lit(True).alias("bold"))
+    return X.drop_totals(cells, ["o_custkey"]).groupBy("o_custkey").agg(F.count("*").alias("kept"))
+
+
+@query("""WITH h AS (SELECT DISTINCT o_custkey AS t, o_orderkey AS r, o_orderstatus AS v FROM orders), k AS (SELECT t, r, v, lag(v) OVER (PARTITION BY t ORDER BY r) AS before FROM h)
+SELECT t, string_agg(v, ' / ' ORDER BY r) AS header FROM k WHERE before IS NULL OR before <> v GROUP BY t""")
+def dedupe_fragments(spark, sf):
+    cells = table(spark, sf, "orders").select(F.col("o_custkey").alias("t"), F.col("o_orderkey").alias("row"), F.lit(0).alias("col"), F.col("o_orderstatus").alias("text"))
+    return G.compound_headers(cells, "t", "row", "col", "text").select("t", "header")
+
+
+@query("""SELECT o_custkey AS t, coalesce(min(CASE WHEN o_orderstatus = 'F' THEN o_orderkey END), 0) AS header_rows FROM orders GROUP BY 1""")
+def header_row_estimate(spark, sf):
+    rows = table(spark, sf, "orders").select(F.col("o_custkey").alias("t"), F.col("o_orderkey").alias("row"), (F.col("o_orderstatus") != "F").alias("texts"))
+    return G.header_length(rows, "t", "row", "texts")
+
+
+@query("""WITH v AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1), k AS (SELECT o_custkey, n, count(*) AS seen FROM v JOIN orders ON l_orderkey = o_orderkey WHERE n >= 2 GROUP BY ALL)
+SELECT o_custkey, n, seen FROM k WHERE seen >= 2 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY seen DESC, n) <= 3""")
+def top3_counts(spark, sf):
+    v = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    o = table(spark, sf, "orders").select("o_custkey", F.col("o_orderkey").alias("l_orderkey"))
+    return G.top_counts(v.join(o, "l_orderkey"), ["o_custkey"], "n", 3)
+
+
+_KIND = """CASE WHEN regexp_full_match(v, '[0-9]{4}') THEN 'date' WHEN regexp_full_match(v, '-?[0-9]+(\\.[0-9]+)?') THEN 'number' ELSE 'string' END"""
+
+
+@query(f"""WITH c AS (SELECT 'customer' AS t, unnest(['c_custkey', 'c_nationkey', 'c_mktsegment', 'c_name']) AS col, unnest([c_custkey::VARCHAR, c_nationkey::VARCHAR, c_mktsegment, c_name]) AS v FROM customer),
+k AS (SELECT t, col, v, {_KIND} AS kind FROM c), m AS (SELECT t, col, kind, count(*) AS n FROM k GROUP BY ALL),
+a AS (SELECT t, col, count(*) AS n, count(DISTINCT v) AS distinct_values, bool_or(kind = 'string') AS texts FROM k GROUP BY ALL)
+SELECT t, col, CASE WHEN texts AND n >= 3 AND (distinct_values <= 5 OR distinct_values <= 0.1 * n) THEN 'enum' ELSE (SELECT arg_max(kind, m.n) FROM m WHERE m.t = a.t AND m.col = a.col) END AS type, n, distinct_values FROM a""")
+def column_types(spark, sf):
+    names = ["c_custkey", "c_nationkey", "c_mktsegment", "c_name"]
+    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("col"), F.col(n).cast("string").alias("text")) for n in names])).alias("p")
+    cells = table(spark, sf, "customer").select(F.col("c_custkey").alias("row"), pairs).select(F.lit("customer").alias("t"), "row", "p.col", "p.text")
+    return D.column_types(cells, ["t", "col"])
+
+
+@query()
+def group_similar_tables(spark, sf):
+    word = F.concat("l_returnflag", (F.col("l_suppkey") % 4).cast("string"))
+    t = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_set(word).alias("tokens"), F.countDistinct("l_linenumber").alias("n_cols"))
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("batch"), F.col("o_orderkey").alias("l_orderkey"))
+    return D.group_similar(t.join(o, "l_orderkey"), "batch", "l_orderkey")
+
+
+@query("""WITH w AS (SELECT p_brand, unnest(list_distinct(string_split(lower(p_type), ' '))) AS word FROM part), c AS (SELECT p_brand, word, count(*) AS n FROM w GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, word) AS place FROM c), f AS (SELECT k.* FROM k JOIN (SELECT p_brand, count(*) AS m FROM part GROUP BY 1) USING (p_brand) WHERE place <= 20 AND n >= greatest(1, 0.3 * m) AND length(word) > 2)
+SELECT p_brand, word AS keyword, n, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, word) AS rank FROM f) WHERE rank <= 10""")
+def group_keywords(spark, sf):
+    t = table(spark, sf, "part").select("p_brand", F.split(F.lower("p_type"), " ").alias("tokens"), F.lit(None).cast("string").alias("title"))
+    return D.keywords(t, "p_brand")
+
+
+@query("""SELECT c_custkey, coalesce(e.n_nationkey, f.n_nationkey) AS column, e.n_nationkey IS NOT NULL AS exact FROM (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN lower(n_name) WHEN c_custkey % 3 = 1 THEN lower(n_name) || ', total' ELSE 'none' END AS h FROM customer JOIN nation ON c_nationkey = n_nationkey)
+LEFT JOIN nation e ON h = lower(e.n_name) LEFT JOIN nation f ON split_part(h, ',', 1) = lower(f.n_name)""")
+def alias_comma_fallback(spark, sf):
+    n = table(spark, sf, "nation")
+    c = table(spark, sf, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    k = F.col("c_custkey") % 3
+    h = c.select("c_custkey", F.when(k == 0, F.col("n_name")).when(k == 1, F.concat("n_name", F.lit(", Total"))).otherwise("none").alias("header"))
+    return O.match_headers(h, n.select(F.col("n_name").alias("alias"), F.col("n_nationkey").alias("column"))).select("c_custkey", "column", "exact")
+
+
+@query("""SELECT n_nationkey AS concept, n_name AS label, 'en' AS lang, 'pref' AS kind FROM nation""")
+def concept_labels(spark, sf):
+    n = table(spark, sf, "nation")
+    names = n.select(F.col("n_nationkey").alias("concept"), "n_name", F.explode(F.array(F.lit("en"), F.lit("fr"))).alias("lang"))
+    names = names.select("concept", F.col("n_name").alias("label"), "lang", F.explode(F.array(F.lit("pref"), F.lit("alt"))).alias("kind"))
+    return O.labels(n.select(F.col("n_nationkey").alias("concept")), names, ["en"], ["pref"]).select("concept", "label", "lang", "kind")
