@@ -26,8 +26,51 @@ def ratio(a: str, b: str) -> float:
     return 200.0 * (len(a) - row.bit_count()) / (len(a) + len(b))
 
 
+def partial_ratio(a: str, b: str) -> float:
+    """The best ratio of the shorter text with a stretch of its length in the longer one, stretches cut off at the ends included."""
+    if len(a) == len(b):
+        return max(_partial(a, b), _partial(b, a))
+    return _partial(a, b) if len(a) < len(b) else _partial(b, a)
+
+
+def _partial(short: str, long: str) -> float:
+    if not short:
+        return 100.0 if not long else 0.0
+    n, best = len(short), 0.0
+    for end in range(1, len(long) + n):
+        best = max(best, ratio(short, long[max(0, end - n) : end]))
+        if best == 100.0:
+            break
+    return best
+
+
+def token_ratio(a: str, b: str, of=ratio) -> float:
+    """The best of sorted words and of shared words against each text's own words; 100 if one holds all words of the other."""
+    x, y = set(a.split()), set(b.split())
+    if not x or not y:
+        return 0.0
+    both, left, right = (" ".join(sorted(w)) for w in (x & y, x - y, y - x))
+    if both and (of is partial_ratio or not left or not right):
+        return 100.0
+    scores = [of(" ".join(sorted(a.split())), " ".join(sorted(b.split()))), of(f"{both} {left}".strip(), f"{both} {right}".strip())]
+    if both:
+        scores += [of(both, f"{both} {left}"), of(both, f"{both} {right}")]
+    return max(scores)
+
+
+def weighted_ratio(a: str, b: str) -> float:
+    """0 to 100: the best of whole, word and, where one text is 1.5 times as long or more, partial similarity, each with its weight."""
+    if not a or not b:
+        return 0.0
+    times = max(len(a), len(b)) / min(len(a), len(b))
+    if times < 1.5:
+        return max(ratio(a, b), 0.95 * token_ratio(a, b))
+    scale = 0.9 if times <= 8 else 0.6
+    return max(ratio(a, b), scale * partial_ratio(a, b), 0.95 * scale * token_ratio(a, b, partial_ratio))
+
+
 def best_term(title: Column, terms: list[str], threshold: float = 90.0) -> Column:
-    """struct(term, score) of the best of a short list of terms at or above the threshold, the first on a tie; else null."""
+    """struct(term, score) of the best of a short list of terms by weighted ratio at or above the threshold, the first on a tie; else null."""
     kind = T.StructType().add("term", "string").add("score", "double")
     low = [t.lower() for t in terms]
 
@@ -35,7 +78,7 @@ def best_term(title: Column, terms: list[str], threshold: float = 90.0) -> Colum
     def run(s: pd.Series) -> pd.DataFrame:
         out = []
         for x in s:
-            scores = [ratio((x or "").lower(), t) for t in low]
+            scores = [weighted_ratio((x or "").lower(), t) for t in low]
             k = max(range(len(terms)), key=lambda i: (scores[i], -i)) if terms else -1
             out.append((terms[k], scores[k]) if k >= 0 and x is not None and scores[k] >= threshold else (None, None))
         return pd.DataFrame(out, columns=["term", "score"])

@@ -575,12 +575,14 @@ def group_similar_tables(spark, sf):
     return D.group_similar(t.join(o, "l_orderkey"), "batch", "l_orderkey")
 
 
-@query("""WITH w AS (SELECT p_brand, unnest(list_distinct(string_split(lower(p_type), ' '))) AS word FROM part), c AS (SELECT p_brand, word, count(*) AS n FROM w GROUP BY ALL),
-k AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, word) AS place FROM c), f AS (SELECT k.* FROM k JOIN (SELECT p_brand, count(*) AS m FROM part GROUP BY 1) USING (p_brand) WHERE place <= 20 AND n >= greatest(1, 0.3 * m) AND length(word) > 2)
-SELECT p_brand, word AS keyword, n, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, word) AS rank FROM f) WHERE rank <= 10""")
+@query("""WITH w AS (SELECT lang, unnest(list_distinct(string_split(lower(text), ' '))) AS word FROM documents WHERE lang IS NOT NULL), c AS (SELECT lang, word, count(*) AS n FROM w GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS place FROM c), f AS (SELECT k.* FROM k JOIN (SELECT lang, count(*) AS m FROM documents GROUP BY 1) USING (lang) WHERE place <= 20 AND n >= greatest(1, 0.3 * m) AND length(word) > 2 AND word NOT IN ('"""
+       + "', '".join(D.STOP_WORDS)
+       + """'))
+SELECT lang, word AS keyword, n, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS rank FROM f) WHERE rank <= 10""")
 def group_keywords(spark, sf):
-    t = table(spark, sf, "part").select("p_brand", F.split(F.lower("p_type"), " ").alias("tokens"), F.lit(None).cast("string").alias("title"))
-    return D.keywords(t, "p_brand")
+    t = table(spark, sf, "documents").select("lang", F.split(F.lower("text"), " ").alias("tokens"), F.lit(None).cast("string").alias("title"))
+    return D.keywords(t, "lang")
 
 
 @query("""SELECT c_custkey, coalesce(e.n_nationkey, f.n_nationkey) AS column, e.n_nationkey IS NOT NULL AS exact FROM (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN lower(n_name) WHEN c_custkey % 3 = 1 THEN lower(n_name) || ', total' ELSE 'none' END AS h FROM customer JOIN nation ON c_nationkey = n_nationkey)

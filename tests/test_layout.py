@@ -4,7 +4,10 @@ import random
 
 from tabloom.operators import layout as L
 from tabloom.operators import sheets as X
+from tabloom.operators.fuzzy import partial_ratio, token_ratio, weighted_ratio
 from tabloom.plans import draft as D
+from tabloom.plans import semantics as S
+from tabloom.plans.contract import Contract
 from tabloom.plans.interpreter import Fallback, Unresolved, resolve
 
 
@@ -155,3 +158,29 @@ def test_interpreters(spark):
     got = rows_of(resolve(docs, "doc", done, Fallback(Unresolved(), Upper(), tries=2, wait=0.0), ["v"]).where("problem is null"), "doc", "row", "v")
     assert got == [(1, 0, "A"), (1, 1, "B")]
     assert rows_of(resolve(docs, "doc", done, columns=["v"]), "doc", "problem") == [(1, "LookupError: no interpreter is configured"), (3, "ValueError: no text")]
+
+
+def test_weighted_ratio():
+    assert weighted_ratio("", "a") == 0.0 and weighted_ratio("abc", "abc") == 100.0
+    assert partial_ratio("wheat", "winter wheat area") == 100.0 and weighted_ratio("wheat", "winter wheat area") == 90.0
+    assert token_ratio("area wheat", "wheat area") == 100.0 and weighted_ratio("area wheat", "wheat area") == 95.0
+    assert token_ratio("a b", "") == 0.0 and partial_ratio("abcd", "xxbcdxx") == 75.0
+
+
+def test_semantics(spark, tmp_path):
+    names = spark.createDataFrame([("u1", "prefLabel", "en", "Wheat"), ("u1", "altLabel", "en", "wheats"), ("u1", "prefLabel", "fr", "ble"), ("u2", "prefLabel", "en", "Durum"), ("u3", "prefLabel", "en", "Far")], "concept string, kind string, lang string, label string")
+    broader = spark.createDataFrame([("u1", "u2"), ("u2", "u3"), ("u2", "u1")], "broader string, narrower string")
+    col = {"name": "crop", "aliases": ["wheat", "corn"], "concept_uris": [{"uri": "u1", "label": "wheat (crop)"}], "resolve": {"narrower_depth": 1, "prefix_patterns": ["spring {label}"]}}
+    contract = {"outputs": {"o": {"category": "c", "schema": {"columns": [col, {"name": "x"}]}}}}
+    done = S.materialize(spark, contract, names, broader)["outputs"]["o"]["schema"]["columns"][0]
+    assert done["aliases"] == ["wheat", "corn", "Durum", "spring Durum", "spring Wheat", "spring wheats", "wheats"] and "resolve" not in done
+    assert done["_alias_provenance"]["wheat"]["source"] == "both" and done["_alias_provenance"]["corn"] == {"source": "manual"}
+    assert S.materialize(spark, {"outputs": {}}, names, broader) == {"outputs": {}}
+    context = S.build_context(spark, contract, names, broader)
+    context.write(str(tmp_path / "c.json"))
+    context = S.SemanticContext.read(str(tmp_path / "c.json"))
+    assert context.valid_set_for("o", "crop") == {"Wheat", "wheats", "Durum", "spring Wheat", "spring wheats", "spring Durum", "wheat (crop)"} and context.aliases_for("o", "x") == []
+    out = Contract.of('{"outputs": {"o": {"schema": {"columns": [{"name": "crop", "aliases": ["WHEAT"]}]}}}}').outputs[0]
+    assert S.with_context(out, context).columns[0].aliases == ("WHEAT", "corn", "Durum", "spring Durum", "spring Wheat", "spring wheats", "wheats")
+    rows = spark.createDataFrame([(" durum",), ("rye",), ("Rye ",), ("",), (None,)], "crop string")
+    assert rows_of(S.validation_counts(rows, "o", ["crop", "y"], context), "column", "valid", "invalid", "unknown_values") == [("crop", 3, 2, 1)]
