@@ -68,6 +68,23 @@ def test_decontaminate(spark):
     assert D.decontaminate(spark, awkward(spark), bench).count() == len(AWKWARD)
 
 
+def test_decontaminate_over_shifts(spark):
+    rng = random.Random(12)
+    plain = lambda n: ["".join(rng.choices("abcdefgh", k=5)) for _ in range(n)]
+    long, mid, short = plain(30), plain(20), plain(15)
+    asked = "Every morning the baker tells Bob that a sack of flour feeds 5 people when Bob shares it with the whole street"
+    items = [" ".join(long), " ".join(mid), " ".join(short), asked]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    around = lambda w: " ".join(plain(30) + w + plain(30))
+    texts = [
+        around([*long[:15], "more", *long[15:]]), around([*long[:15], *long[16:]]), around([*mid[:10], "other", *mid[11:]]), around([*short[:7], "other", *short[8:]]),
+        asked.replace("Bob", "Mary Ann").replace("5", "five hundred"), asked.replace("Bob", "Mary Ann", 1).replace("Bob", "John Paul"), around(long[:12]), around(short[:6] + plain(60) + short[6:]), around([*mid[10:], *mid[:10]]),
+        asked.replace("Bob", "Mary Ann", 1).replace("Bob", "John Paul") + ". " + asked.replace("Bob", "Mary Ann"),
+    ]
+    got = {(r["doc_id"], r["item_id"]) for r in D.contaminated(spark, docs(spark, texts), bench).collect()}
+    assert got == {(0, 0), (1, 0), (2, 1), (3, 2), (4, 3), (9, 3)}
+
+
 # --- 2 ---
 
 
