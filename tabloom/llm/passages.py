@@ -6,7 +6,8 @@ Two kinds of unit, both cut from a document's word sequence:
   blocks      runs of BLOCK words, for passages pasted into the middle of a line. Every position's
               shingle is hashed and the block at the least hash among WINNOW neighbouring starts is
               taken (a one-row MinHash of the stretch), so any two equal runs of
-              BLOCK + WINNOW - 1 = 50 words share a block; blocks are clustered by equality
+              BLOCK + WINNOW - 1 = 50 words share a block; blocks are clustered by equality, and each copy is
+              extended left and right to the whole run of words that it shares with another document
 In each cluster over two documents or more the smallest (doc_id, position) stays.
 """
 
@@ -79,6 +80,75 @@ def _lines(texts: list[str | None]):
             yield lo + i, lines, flat[start:at]
 
 
+def _around(w: np.ndarray, starts: np.ndarray, doc_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The WINNOW words after and before blocks, outwards; beyond the text stands a value of the document's own."""
+    own = np.full(WINNOW, mix(np.array([doc_id]).astype(np.uint64) + U(0x9E3779B97F4A7C15))[0] >> U(32), dtype=np.uint32)
+    wide = np.concatenate([own, (w >> U(32)).astype(np.uint32), own])
+    at = (starts + WINNOW)[:, None]
+    return wide[at + BLOCK + np.arange(WINNOW)], wide[at - 1 - np.arange(WINNOW)]
+
+
+def _extended(scratch: Scratch, src: DataFrame, shared: DataFrame) -> DataFrame:
+    """(doc_id, first, n, hash, keeper): shared blocks, and each with the words on either side that it has in common with another document.
+
+    Between two blocks of an equal run, and from its ends to the next block, are fewer than WINNOW words. All copies of a block are compared with the
+    keeper's words; those that leave it at the same word for the same other word may agree further among themselves, and are compared
+    again with the least of them, until nobody is left. Each round settles one word more at least, so there are WINNOW + 1 at most.
+    """
+    per = scratch.put(shared.groupBy(F.col("doc_id").alias("doc")).agg(F.collect_list("first").alias("first"), F.collect_list("hash").alias("hash")), "asked")
+    n = per.agg(F.count("*").alias("n"), F.sum(F.size("first")).alias("k")).first()
+    got = src.join(small(per, 1, n["n"] * 64 + (n["k"] or 0) * 16), F.col("doc_id") == F.col("doc")).select("doc_id", "text", "first", "hash")
+    names = ["key", "side", "hash", "doc_id", "first", "around"]
+
+    def cut(batches):
+        for b in batches:
+            ids, firsts, hashes = b.column(0).to_pylist(), b.column(2), b.column(3)
+            for i, _, w in _lines(b.column(1).to_pylist()):
+                at, h = firsts[i].values.to_numpy(), hashes[i].values.to_numpy()
+                here = at + BLOCK <= len(w)
+                at, h = at[here], h[here]
+                # a row that repeats a doc_id may hold another text
+                here = as_long(mix((w[at[:, None] + np.arange(BLOCK)] * _ODD).sum(axis=1))) == h if len(at) else np.empty(0, bool)
+                at, h = at[here], h[here]
+                for side, words in enumerate(_around(w, at, ids[i])):
+                    key = as_long(mix(h.view(np.uint64) + U(side)))
+                    around = pa.array([x.tobytes() for x in words], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(at), side, dtype=np.int32)), pa.array(h), pa.array(np.full(len(at), ids[i])), pa.array(at), around], names=names)
+
+    def compare(batches):
+        for b in batches:
+            if not len(b):
+                continue
+            mine, other = (np.frombuffer(b"".join(b.column(j).to_pylist()), dtype=np.uint32).reshape(-1, WINNOW) for j in (5, 6))
+            same = np.concatenate([mine == other, np.zeros((len(b), 1), dtype=bool)], axis=1).argmin(axis=1)
+            key = b.column(0).to_numpy().view(np.uint64)
+            leaves = np.take_along_axis(mine, np.minimum(same, WINNOW - 1)[:, None], 1)[:, 0]
+            after = as_long(mix(key + mix(leaves.astype(np.uint64) * U(64) + same.astype(np.uint64))))
+            yield pa.RecordBatch.from_arrays([*(b.column(j) for j in (0, 1, 2, 3, 4, 5, 7, 8)), pa.array(same.astype(np.int32)), pa.array(after)], names=[*names, "keeper", "at", "same", "after"])
+
+    now = scratch.put(got.mapInArrow(cut, "key long, side int, hash long, doc_id long, first long, around binary"), "around")
+    out = shared.select("doc_id", "first", "n", "hash", "keeper")
+    for _ in range(WINNOW + 1):
+        least = now.groupBy("key").agg(F.min(F.struct("doc_id", "first", "around")).alias("keep"), F.max("doc_id").alias("last")).where("keep.doc_id <> last")
+        least = scratch.put(least.select("key", F.col("keep.around").alias("other"), F.col("keep.doc_id").alias("keeper"), F.col("keep.first").alias("at")), "least")
+        if not (k := least.count()):
+            break
+        both = now.join(small(least, k, 256), "key").select(*names, "other", "keeper", "at")
+        met = scratch.put(both.mapInArrow(compare, "key long, side int, hash long, doc_id long, first long, around binary, keeper long, at long, same int, after long"), "met")
+        scratch.drop(now, least)
+        copies = met.where("doc_id <> keeper and same > 0")
+        most = copies.groupBy("key").agg(F.max("same").alias("most"))
+        most = scratch.put(most, "most")
+        kept = met.where("doc_id = keeper").join(small(most, k, 32), "key").withColumn("same", F.least("same", "most")).where("same > 0")
+        longer = copies.select("side", "hash", "doc_id", "first", "keeper", "same").unionByName(kept.select("side", "hash", "doc_id", "first", "keeper", "same"))
+        longer = scratch.put(longer.select("doc_id", (F.col("first") - F.col("side") * F.col("same")).alias("first"), (F.col("same") + BLOCK).cast("long").alias("n"), "hash", "keeper"), "longer")
+        out = out.unionByName(longer)
+        left = met.where((F.col("same") < WINNOW) & ~((F.col("doc_id") == F.col("keeper")) & (F.col("first") == F.col("at"))))
+        now = scratch.put(left.select(F.col("after").alias("key"), *names[1:]), "around")
+        scratch.drop(met)
+    return out
+
+
 SPAN = "doc_id long, first long, n long, class_id string, keeper long, removed boolean"
 
 
@@ -118,7 +188,8 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, scratch: Scratch, simil
     least = F.min(F.struct("doc_id", "first")).alias("keep")
     twice = block.groupBy("hash").agg(least, F.max("doc_id").alias("last")).where("keep.doc_id <> last").select("hash", F.col("keep.doc_id").alias("keeper"))
     twice = scratch.put(twice, "blocks")
-    spans = block.join(small(twice, twice.count(), 96), "hash").select("doc_id", "first", "n", F.concat(F.lit("b"), F.hex("hash")).alias("class_id"), "keeper")
+    shared = scratch.put(block.join(small(twice, twice.count(), 96), "hash").select("doc_id", "first", "n", "hash", "keeper"), "shared")
+    spans = _extended(scratch, src, shared).select("doc_id", "first", "n", F.concat(F.lit("b"), F.hex("hash")).alias("class_id"), "keeper")
 
     # paragraphs: equal ones are one node; bands propose pairs of nodes
     para = units.where("key is not null")
@@ -186,7 +257,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, similarity: float =
 
     Sure to be found: equal runs of 50 words or more anywhere, and with a probability of 0.999 lines of 40 words or more
     whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Equal runs of 25 to 49 words are found
-    if a block falls on them. Repeats within one document alone don't count.
+    if a block falls on them. Equal runs are reported whole. Repeats within one document alone don't count.
 
     Null and empty texts share nothing; rows with a null doc_id take no part; rows that repeat a doc_id
     count as one document. Only doc_id and text are read. An empty table gives an empty result.

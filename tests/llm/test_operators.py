@@ -281,6 +281,21 @@ def test_passages(spark):
     assert P.repeated_passages(spark, awkward(spark)).count() == 0
 
 
+def test_passages_in_lines_are_whole(spark):
+    rng = random.Random(19)
+    piece, long = prose(rng, 60), prose(rng, 140)
+    own = lambda n: prose(rng, n)
+    head = [own(33), own(50), own(9), own(40), own(5), []]
+    body = [piece, piece, long[40:90], long, long, [*piece, "and", *piece]]
+    texts = [" ".join(a + b + own(20)) for a, b in zip(head, body, strict=True)]
+    got = {r["doc_id"]: r for r in P.repeated_passages(spark, docs(spark, texts)).collect()}
+    places = lambda r, c: [(x["first"], x["last"]) for x in r[c]]
+    assert [places(got[i], "spans") for i in range(6)] == [[(33, 93)], [(50, 110)], [(9, 59)], [(40, 180)], [(5, 145)], [(0, 60), (61, 121)]]
+    assert [got[i]["n_removed_words"] for i in range(6)] == [0, 60, 0, 50, 140, 120]  # 3 keeps for 4 what 2 doesn't have
+    kept = {r["doc_id"]: r["text"].split() for r in P.drop_repeated(spark, docs(spark, texts)).collect()}
+    assert len(kept[1]) == 70 and len(kept[4]) == 25 and len(kept[5]) == 21
+
+
 def test_winnowing_guarantee():
     rng = np.random.default_rng(11)
     for _ in range(40):
