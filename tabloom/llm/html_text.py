@@ -35,6 +35,7 @@ BOILER = re.compile(
     re.I,
 )
 GOOD = re.compile(r"(?:^|[\s_-])(?:article|articles|content|main|post|entry|story|body|text|page)(?=$|[\s_-])", re.I)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 
 MARK = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*?>", re.S)
@@ -197,6 +198,22 @@ def _blocks(node: Node, out: list[str]) -> None:
     flush()
 
 
+def _names(node: Node) -> str:
+    return " ".join(m[2] or m[3] or m[4] or "" for m in ATTR.finditer(node.attrs) if m[1].lower() in ("class", "id"))
+
+
+def _prune_links(wrapper: Node, path: set[int]) -> None:
+    """Prunes the link-dense blocks in a wrapper, but for headings and what is on the path."""
+    stack = [wrapper]
+    while stack:
+        for k in stack.pop().kids:
+            if isinstance(k, Node) and not k.pruned and k.tag in BLOCK:
+                if id(k) not in path and k.linked > 0.5 * k.size and k.tag not in HEADINGS:
+                    k.pruned = True
+                else:
+                    stack.append(k)
+
+
 def main_text(page: str | None) -> str:
     """The article's blocks joined by blank lines; empty if there is none."""
     if not page:
@@ -210,6 +227,16 @@ def main_text(page: str | None) -> str:
         return x.points * (1 - x.linked / max(1, x.size))
 
     best = max(scored, key=worth)
+    inside, path = best, []
+    while inside is not None and inside.tag not in ("#root", "html", "body"):
+        path.append(inside)
+        inside = inside.parent
+    # an article is kept whole however long its parts are; else main, what is named like an article, or the element around
+    named = [x for x in path if GOOD.search(_names(x))]
+    wrapper = next((x for t in ("article", "main") for x in path if x.tag == t), named[-1] if named else path[min(1, len(path) - 1)] if path else best)
+    if wrapper.tag not in ("article", "main"):
+        _prune_links(wrapper, set(map(id, path)))
+    best = wrapper
     # what a better container leaves out may be in the element around it
     while best.parent is not None and best.parent.tag not in ("#root", "html", "body") and best.tag not in ("article", "main") and worth(best.parent) >= 0.75 * worth(best):
         best = best.parent

@@ -322,6 +322,15 @@ def test_html(spark):
     assert got[1]["n_chars"] == len(got[1]["text"]) and got[2]["text"] == got[None]["text"] == ""
 
 
+@pytest.mark.parametrize("n", [1, 5, 12, 13, 20, 60])
+def test_html_of_any_length(n):
+    body = "".join(f"<p>{'word, ' * 3}{'x' * 290} {i}</p>" for i in range(n))
+    text = H.main_text(f"<body><article><h1>T</h1>bare<div class=body>{body}</div><p>short</p></article></body>").split("\n\n")
+    assert text[:2] == ["T", "bare"] and text[-1] == "short" and len(text) == n + 3
+    text = H.main_text(f"<body><div class='post'><h1>T</h1><section>{body}</section><section><p>A small one.</p></section><ul><li><a href='/'>Link to more</a></ul></div></body>").split("\n\n")
+    assert text[0] == "T" and text[-1] == "A small one." and len(text) == n + 2
+
+
 # --- pipeline ---
 
 
