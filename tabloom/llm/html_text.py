@@ -29,11 +29,15 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 FENCE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "tfoot": {"table"}, "option": {"select"}}
 #: Words of class and id names that mark what is not the article; whole words between - _ or blanks.
 BOILER = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adv|adverts?|advertisements?|sponsor(?:ed)?|promos?|promotions?|banners?|cookies?|consent|gdpr|notices?|alerts?|sidebars?|side|menus?|nav|navbar|navigation|navigations?|breadcrumbs?|"
+    r"(?:^|[\s_-])(ads?|adv|adverts?|advertisements?|sponsor(?:ed)?|promos?|promotions?|banners?|cookies?|consent|gdpr|notices?|alerts?|sidebars?|side|menus?|nav|navbar|navigation|navigations?|breadcrumbs?|"
     r"footers?|headers?|masthead|comments?|commentlist|disqus|respond|replies|discussion|share|sharing|social|related|recommend(?:ed|ations?)?|subscribe|subscription|newsletter|popups?|modal|overlay|"
     r"toolbar|widgets?|login|signup|signin|search|pagination|pager|toc|skip|copyright|legal|disclaimer|tags?|tagcloud|metadata|byline)(?=$|[\s_-])",
     re.I,
 )
+#: Names that tell what is beside an element, or what it is about: has-sidebar, no-comments, tag-politics.
+NEUTRAL = re.compile(r"(?<!\S)(?:has|no|with|without|tags?|category|topic)[_-]\S+|(?<!\S)\S+[_-](?:has|no|with|without)[_-]\S+", re.I)
+#: Words of BOILER that inside an article may as well name a part of its text.
+TOPICS = frozenset("discussion replies legal disclaimer copyright notice notices alert alerts side search metadata header headers consent login skip tag tags recommendation recommendations".split())
 GOOD = re.compile(r"(?:^|[\s_-])(?:article|articles|content|main|post|entry|story|body|text|page)(?=$|[\s_-])", re.I)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
@@ -112,8 +116,6 @@ def _boiler(node: Node) -> bool:
         return False
     for m in ATTR.finditer(node.attrs):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if key in ("class", "id") and BOILER.search(value):
-            return True
         if key == "role" and value.lower() in ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
             return True
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
@@ -121,6 +123,35 @@ def _boiler(node: Node) -> bool:
     return False
 
 
+def _named_boiler(node: Node, inside: bool) -> bool:
+    """Whether class or id names an element as boilerplate; `inside` an article fewer words do, and a heading's id says nothing."""
+    if len(node.attrs) <= len(node.tag) + 2 or node.tag in ("body", "html", "article", "main"):
+        return False
+    for m in ATTR.finditer(node.attrs):
+        key = m[1].lower()
+        if key == "class" or key == "id" and node.tag not in HEADINGS:
+            value = NEUTRAL.sub(" ", m[2] or m[3] or m[4] or "")
+            if any(not (inside and w[1].lower() in TOPICS) for w in BOILER.finditer(value)):
+                return True
+    return False
+
+
+def _text_sizes(order: list[Node]) -> dict[int, tuple[int, int, bool]]:
+    """(characters, those in links, whether it is or holds an article or main) of each node; `order` has parents first."""
+    out: dict[int, tuple[int, int, bool]] = {}
+    for x in reversed(order):
+        size = linked = 0
+        holds = x.tag in ("article", "main")
+        for k in x.kids:
+            if isinstance(k, str):
+                size += len(k.strip())
+            elif not k.pruned:
+                n, links, inner = out[id(k)]
+                size, linked, holds = size + n, linked + links, holds or inner
+        out[id(x)] = size, size if x.tag == "a" else linked, holds
+    return out
+
+
 def clean(text: str) -> str:
     """Character references decoded, white space to single blanks, trimmed."""
     return SPACE.sub(" ", html.unescape(text) if "&" in text else text).strip()
@@ -129,15 +160,30 @@ def clean(text: str) -> str:
 def _measure(root: Node) -> list[Node]:
     """Marks what is pruned and measures text; returns the containers that got points."""
     scored: list[Node] = []
-    order, stack = [], [root]
+    order, named, stack = [], [], [(root, False)]
     while stack:
-        x = stack.pop()
+        x, inside = stack.pop()
         order.append(x)
+        inside = inside or x.tag in ("article", "main")
         for k in x.kids:
             if isinstance(k, Node):
                 k.pruned = _boiler(k)
                 if not k.pruned:
-                    stack.append(k)
+                    stack.append((k, inside))
+                    if _named_boiler(k, inside):
+                        named.append(k)
+    if named:
+        # a name alone doesn't cut what holds an article or most of the text, unless that is links
+        sizes = _text_sizes(order)
+        total = sizes[id(root)][0]
+        for k in named:
+            size, linked, holds = sizes[id(k)]
+            k.pruned = not holds and (2 * size < total or 2 * linked > size)
+        order, stack = [], [root]
+        while stack:
+            x = stack.pop()
+            order.append(x)
+            stack += [k for k in x.kids if isinstance(k, Node) and not k.pruned]
     direct = {}
     for x in reversed(order):  # children come before their parents
         own = flow = 0

@@ -331,6 +331,17 @@ def test_html_of_any_length(n):
     assert text[0] == "T" and text[-1] == "A small one." and len(text) == n + 2
 
 
+def test_html_names():
+    body = "".join(f"<p>Some words, {'x' * 90} {i}</p>" for i in range(6))
+    want = H.main_text(f"<body><div>{body}</div></body>")
+    assert want.count("Some words") == 6
+    for name in ("id=content class='has-sidebar'", "class='post tag-politics'", "class='layout with-sidebar'", "class='page-with-sidebar'", "class='widget'", "id='search'"):
+        assert H.main_text(f"<body><div {name}>{body}</div><div class='sidebar'>Other things, here.</div></body>") == want, name
+    inner = "<h2 id='side-effects'>Side effects</h2><section id='discussion'><p>We discuss.</p></section><p class='legal'>The law.</p>"
+    text = H.main_text(f"<body><div class='sidebar layout'><article>{body}{inner}<div class='related'><p>Read on, here.</p></div></article></div></body>")
+    assert text == want + "\n\nSide effects\n\nWe discuss.\n\nThe law."
+
+
 # --- pipeline ---
 
 
