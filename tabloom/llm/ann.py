@@ -140,22 +140,41 @@ class Shard:
         self.x = x[first]
         by = np.argsort(inverse, kind="stable")
         ends = np.searchsorted(inverse[by], np.arange(len(first) + 1))
-        # k answers and the query itself need no more than k + 1 ids of a vector
-        self.members = [ids[by[a : min(b, a + k + 1)]] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        # k answers and the query itself need no more than k + 1 ids of a vector, each counted once
+        self.members = [np.unique(ids[by[a:b]])[: k + 1] for a, b in zip(ends[:-1], ends[1:], strict=True)]
         self.graph = Graph(self.x)
         self.exact = self.x.astype(np.float64)
 
     def nearest(self, ids: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple[int, int, float]]:
-        beam = max(SEARCH_BEAM, 2 * k)
-        found, _ = self.graph.search(np.hstack([q, np.zeros((len(q), 1))]).astype(np.float32), beam)
-        for i, row, one in zip(ids.tolist(), found, q.astype(np.float64), strict=True):
-            row = row[row >= 0]
-            score = (self.exact[row] * one).sum(1)
-            best = []
-            for r in np.argsort(-score, kind="stable")[: k + 1]:
-                best += [(-float(score[r]), int(m)) for m in self.members[row[r]] if m != i]
-            for s, m in sorted(best)[:k]:
-                yield i, m, -s
+        beam, todo = max(SEARCH_BEAM, 2 * k), np.arange(len(ids))
+        while len(todo):
+            found, _ = self.graph.search(np.hstack([q[todo], np.zeros((len(todo), 1))]).astype(np.float32), beam)
+            short = []
+            for at, row in zip(todo.tolist(), found, strict=True):
+                row = row[row >= 0]
+                best = self._best(int(ids[at]), q[at], row, k)
+                if len(best) < k and len(row) < len(self.x):
+                    if len(row) == beam:  # the vectors of few ids fill the beam
+                        short.append(at)
+                        continue
+                    best = self._best(int(ids[at]), q[at], np.arange(len(self.x)), k)  # the graph leads no farther
+                for m, s in sorted(best.items(), key=lambda x: (-x[1], x[0]))[:k]:
+                    yield int(ids[at]), m, s
+            todo, beam = np.array(short, dtype=np.int64), 2 * beam
+
+    def _best(self, i: int, q: np.ndarray, row: np.ndarray, k: int) -> dict[int, float]:
+        """Scores of the k best ids but `i`, and of those that tie, among vectors; an id with several vectors counts by its better one."""
+        score = (self.exact[row] * q.astype(np.float64)).sum(1)
+        best: dict[int, float] = {}
+        last = None
+        for r in np.argsort(-score, kind="stable"):
+            if len(best) >= k and score[r] < last:
+                break
+            last = score[r]
+            for m in self.members[row[r]].tolist():
+                if m != i:
+                    best.setdefault(m, float(score[r]))
+        return best
 
 
 def usable(vectors: DataFrame) -> DataFrame:

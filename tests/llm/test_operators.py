@@ -242,6 +242,24 @@ def test_neighbours(spark):
     assert nearest_neighbours(spark, v.limit(0), v).count() == 0
 
 
+def test_neighbours_of_repeated_rows(spark):
+    rng = np.random.default_rng(17)
+    x = rng.normal(size=(25, 8)).astype(np.float32)
+    x[20:] = x[3]  # equal vectors
+    rows = [(i, [float(v) for v in x[i]]) for i in range(25) for _ in range(30)]
+    rows += [(100, [float(v) for v in x[3] * (2 + j / 1000)]) for j in range(300)]  # one id, many vectors
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = defaultdict(list)
+    for r in nearest_neighbours(spark, v, v.where("vec_id in (3, 7)").distinct()).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    for i in (3, 7):
+        best: dict[int, float] = {}
+        for j, e in rows:
+            s = float((np.array(e, dtype=np.float32).astype(np.float64) * x[i].astype(np.float64)).sum())
+            best[j] = max(s, best.get(j, s))
+        assert got[i] == sorted((j for j in best if j != i), key=lambda j: (-best[j], j))[:20]
+
+
 # --- 6 ---
 
 
