@@ -22,8 +22,6 @@ from .sampling import bounded, fold
 LANGUAGE_ROWS = 1_000
 #: n-grams are hashed to so many values.
 BITS = 15
-#: Languages that enter the mixture of a text: the likeliest ones alone.
-MOST = 12
 _OTHER = re.compile(r"[\W\d_]+")
 
 
@@ -55,15 +53,10 @@ class LanguageModel:
         at = np.flatnonzero(counts)
         c = counts[at].astype(float)
         lp = self.logp[at]
-        alone = c @ lp
-        use = np.argsort(-alone, kind="stable")[:MOST]
-        theta = np.full(len(use), 1 / len(use))
-        theta, like = self._em(c, lp[:, use], theta, 12)
+        # every language may explain a part of the text that the others don't; only the penalised likelihood removes one
+        use = np.arange(len(self.languages))
+        theta, like = self._em(c, lp, np.full(len(use), 1 / len(use)), 12)
         n = c.sum()
-        keep = theta >= min(0.02, theta.max())
-        if not keep.all():
-            use, theta = use[keep], theta[keep] / theta[keep].sum()
-            theta, like = self._em(c, lp[:, use], theta, 8)
         price = self.price * 0.5 * np.log(n + 1)
         while len(use) > 1:
             drop = int(np.argmin(theta))

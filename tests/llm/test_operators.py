@@ -217,6 +217,20 @@ def test_language(spark):
     assert {r["lang_pred"] for r in L.identify(spark, awkward(spark).withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_beyond_twelve():
+    rng = random.Random(16)
+    latin = ["".join(rng.choices("aeioulmnrst", k=5)) for _ in range(60)]
+    other = ["".join(rng.choices("日本語学校電車時間", k=3)) for _ in range(30)]
+    words = {f"l{j:02d}": rng.sample(latin, 45) for j in range(15)} | {"ja": other}
+    logp = []
+    for ws in words.values():
+        n = np.bincount(L.grams(" ".join(rng.choices(ws, k=4000))), minlength=1 << L.BITS) + 0.01
+        logp.append(np.log(n / n.sum()))
+    model = L.LanguageModel(list(words), np.array(logp).T)
+    got = model.mixture(" ".join(rng.choices(words["l00"], k=250) + rng.choices(other, k=120)))
+    assert "ja" in got and max(got, key=got.get) == "l00" and set(got) == {"l00", "ja"}
+
+
 # --- 5 ---
 
 
