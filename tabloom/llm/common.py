@@ -7,7 +7,6 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -27,26 +26,29 @@ WORD = re.compile(r"\w+")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in `spark.checkpoint.dir`; where it is unset (tests), one of our own."""
-    there = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if there:
-        return there
-    there = spark.sparkContext.getCheckpointDir()
+    """The folder in `spark.checkpoint.dir`; where it is unset (tests, on one machine), one of our own."""
+    there = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if there:
         return there
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='tabloom-')}")
     return spark.sparkContext.getCheckpointDir()
 
 
-#: Rows that go to a Python kernel at once: whole texts are held twice on either side of the pipe.
-ARROW_ROWS = 1_000
+#: Rows and bytes that go to a Python kernel at once: whole texts are held twice on either side of the pipe.
+ARROW_ROWS, ARROW_BYTES = 1_000, 16 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Lowers the session's Arrow batch size to ARROW_ROWS, so that a kernel's memory doesn't hang on the default of 10,000 texts."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
-        spark.conf.set(key, str(ARROW_ROWS))
+    """Lowers the session's Arrow batches to ARROW_ROWS and ARROW_BYTES, so that a kernel's memory hangs neither on the default of 10,000 texts nor on their length.
+
+    Every operator calls it first. Plans are run after the operators have returned, so the settings stay lowered.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
+        now = spark.conf.get(key, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 class Scratch:
@@ -91,6 +93,31 @@ def small(df: DataFrame, rows: int, bytes_per_row: int) -> DataFrame:
     return F.broadcast(df) if rows * bytes_per_row <= BROADCAST_BYTES else df
 
 
+#: Keys that lookup() calls hot, at the most: the bound of what it broadcasts of a large table.
+HOT_KEYS = 50_000
+
+
+def lookup(rows: DataFrame, table: DataFrame, on: str | list[str], total: int, bytes_per_row: int = 64) -> DataFrame:
+    """`rows` inner-joined with `table`, which has each key once and in `n` how many of the `total` rows have it.
+
+    A small table is broadcast. Of a large one only the keys with more than total / HOT_KEYS rows are, which are fewer than HOT_KEYS;
+    the other keys are shuffled, so that no key brings more than that share of the rows to one task.
+    """
+    if total * bytes_per_row <= BROADCAST_BYTES:  # as many keys at the most
+        return rows.join(F.broadcast(table.drop("n")), on)
+    hot, cold = (table.where(F.col("n") > total // HOT_KEYS), table.where(F.col("n") <= total // HOT_KEYS))
+    left = rows.join(F.broadcast(hot.select(on)), on, "left_anti")
+    return rows.join(F.broadcast(hot.drop("n")), on).unionByName(left.join(cold.drop("n"), on))
+
+
+def unused(name: str, *frames: DataFrame) -> str:
+    """`name`, made longer until no column of the frames is called that."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def with_fields(schema: T.StructType, ddl: str) -> T.StructType:
     """A schema with the columns of `ddl` after its own."""
     return T.StructType([*schema.fields, *T.StructType.fromDDL(ddl).fields])
@@ -131,17 +158,6 @@ def hash_strings(values: Iterable[str]) -> np.ndarray:
     return pd.util.hash_array(np.asarray(uniques, dtype=object), categorize=False)[codes]
 
 
-def hashed_words(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, word hashes in text order) of each text; memory is bounded by a chunk."""
-    for a, b in chunks(texts):
-        lists = [words(t) for t in texts[a:b]]
-        flat = hash_strings(chain.from_iterable(lists))
-        at = 0
-        for i, ws in enumerate(lists):
-            yield a + i, flat[at : at + len(ws)]
-            at += len(ws)
-
-
 U = np.uint64
 
 
@@ -152,6 +168,60 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+_tables: dict[str, np.ndarray] = {}
+
+
+def _codes(most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whether a code point is a word character (as in the pattern \\w), and a random number for it; up to `most` at least."""
+    if "word" not in _tables or len(_tables["word"]) <= most:
+        n = 0x3000 if most < 0x3000 else 0x110000
+        _tables["word"] = np.fromiter((chr(c).isalnum() or c == 95 for c in range(n)), dtype=bool, count=n)
+        _tables["code"] = mix(np.arange(1, n + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15))
+    return _tables["word"], _tables["code"]
+
+
+def _places(most: int) -> np.ndarray:
+    """An odd factor for each place in a word."""
+    if "place" not in _tables or len(_tables["place"]) <= most:
+        _tables["place"] = mix(np.arange(1, max(256, 2 * most) + 1, dtype=np.uint64) * U(0xD6E8FEB86659FD93)) | U(1)
+    return _tables["place"]
+
+
+class Words:
+    """The words of some texts: runs of word characters, as 64-bit hashes, with no Python object for any of them.
+
+    `h` hashes the words of all texts in order, `start` and `end` are their places in `chars` (all texts, a line feed after each), and
+    `first[i] : first[i + 1]` are the words of text i, `at[i]` its place in `chars`. The texts must be lower-cased.
+    """
+
+    def __init__(self, texts: list[str]):
+        self.chars = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le"), dtype=np.uint32)
+        self.at = np.concatenate([[0], np.cumsum(np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts)))])
+        word, code = _codes(int(self.chars.max()) if len(self.chars) else 0)
+        inside = word[self.chars]
+        edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        if len(inside) and inside[0]:
+            edge = np.concatenate([[0], edge])
+        self.start, self.end = edge[::2], edge[1::2]  # a line feed ends the last word
+        n = self.end - self.start
+        if len(n):
+            before = np.cumsum(n) - n
+            place = np.arange(int(n.sum())) - np.repeat(before, n)
+            h = np.add.reduceat(code[self.chars[inside]] * _places(int(n.max()))[place], before)
+            self.h = mix(h + n.astype(np.uint64) * U(0xC2B2AE3D27D4EB4F))
+        else:
+            self.h = np.empty(0, dtype=np.uint64)
+        self.first = np.searchsorted(self.start, self.at)
+
+
+def hashed_words(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, hashes of the lower-cased words in text order) of each text; memory is bounded by a chunk."""
+    for a, b in chunks(texts):
+        got = Words([t.lower() if t else "" for t in texts[a:b]])
+        for i in range(b - a):
+            yield a + i, got.h[got.first[i] : got.first[i + 1]]
+
+
 def shingles(w: np.ndarray, k: int) -> np.ndarray:
     """Hashes of the runs of k words; fewer than k words make one run, none make none."""
     n = len(w)

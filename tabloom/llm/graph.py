@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, parts, small
+from .common import BROADCAST_BYTES, Scratch, chunks, lookup, parts, small
 
 #: Members that one task compares with one leader's text before another copy of it is sent.
 SALT_ROWS = 2_000
@@ -20,18 +20,18 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, label): the smallest node of each connected component, for every node with a link.
 
     Alternates large-star and small-star steps over written tables until the links stand still.
-    A step's work is linear in the links, whatever the size of a component or degree of a node.
+    A step's work is linear in the links, whatever the size of a component or degree of a node, and no node's links meet in one task.
     """
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
+    def star(e: DataFrame, large: bool, n: int) -> DataFrame:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         if not large:
             both = both.where("b < a")
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        out = both.join(least, "a").where("b > a" if large else "true").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+        out = lookup(both, least, "a", n).where("b > a" if large else "true").select(F.col("b").alias("a"), F.col("m").alias("b"))
         if not large:
             out = out.unionByName(least.select("a", F.col("m").alias("b")))
-        return out.where("a <> b").distinct()
+        return out.where("a <> b")
 
     def sign(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -42,13 +42,26 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         before = mark
         if not mark[0]:
             break
-        after = scratch.put(star(star(now, True), False), "links")
+        after = scratch.put(star(star(now, True, 2 * mark[0]), False, 2 * mark[0]).distinct(), "links")
         scratch.drop(now)
         now = after
     out = now.select(F.col("a").alias("node"), F.col("b").alias("label"))
     return out.unionByName(out.select(F.col("label").alias("node"), "label").distinct())
 
 
+def joined(labels: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """`labels`, a written (node, label), after the links of the written table `edges` came to it; only the components that they join are worked on again."""
+    if edges.isEmpty():
+        return labels
+    a, b = (labels.select(F.col("node").alias(x), F.col("label").alias(f"{x}_label")) for x in "ab")
+    named = edges.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))
+    top = scratch.put(components(named, scratch), "joined")
+    to = labels.groupBy("label").agg(F.count("*").alias("n")).join(top.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left")
+    to = scratch.put(to.select("label", F.coalesce("to", "label").alias("to"), "n"), "renamed")
+    old = lookup(labels, to, "label", to.agg(F.sum("n")).first()[0] or 0).select("node", F.col("to").alias("label"))
+    return scratch.put(old.unionByName(top.join(labels, "node", "left_anti").select("node", "label")), "labels")
+
+
 def checked(pairs: DataFrame, texts: DataFrame, check: Callable[[object, object], bool], prepare: Callable[[list[str]], list], spark: SparkSession) -> DataFrame:
     """The pairs (a, b) whose texts pass `check`; `texts` is (node, text).
 
@@ -56,8 +69,8 @@ def checked(pairs: DataFrame, texts: DataFrame, check: Callable[[object, object]
     are sorted so that a's text comes first, hence one prepared leader is held at a time.
     """
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(1 << 30)).cast("int"))
-    many = pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > SALT_ROWS)
-    salted = salted.join(many, "a", "left").withColumn("salt", F.pmod("salt", F.greatest(F.lit(1), F.ceil(F.col("n") / SALT_ROWS)).cast("int"))).drop("n")
+    many = pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > SALT_ROWS)  # no more than pairs / SALT_ROWS
+    salted = salted.join(small(many, pairs.count() // SALT_ROWS, 32), "a", "left").withColumn("salt", F.pmod("salt", F.greatest(F.lit(1), F.ceil(F.col("n") / SALT_ROWS)).cast("int"))).drop("n")
     member = salted.join(texts, salted["b"] == texts["node"]).select("a", "salt", F.lit(1).alias("kind"), "b", "text")
     head = salted.select("a", "salt").distinct()
     leader = head.join(texts, head["a"] == texts["node"]).select("a", "salt", F.lit(0).alias("kind"), F.col("a").alias("b"), "text")
@@ -67,10 +80,11 @@ def checked(pairs: DataFrame, texts: DataFrame, check: Callable[[object, object]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = (None, None)
         for batch in batches:
-            for lo in range(0, len(batch), 256):
-                part = batch.slice(lo, 256)
+            texts = batch.column(4).to_pylist()
+            for lo, hi in chunks(texts):
+                part = batch.slice(lo, hi - lo)
                 a, kind, b = part.column(0).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist()
-                ready = prepare(part.column(4).to_pylist())
+                ready = prepare(texts[lo:hi])
                 keep: list[tuple[int, int]] = []
                 for x, k, y, t in zip(a, kind, b, ready, strict=True):
                     if k == 0:
@@ -95,25 +109,27 @@ def classes(spark: SparkSession, scratch: Scratch, bands: DataFrame, texts: Call
     are checked one by one, so no link that joins two classes is lost and pairs within a class are never expanded.
     """
     close = f"least(a_size, b_size) >= {similarity} * greatest(a_size, b_size) - 1e-6"
-    shared = scratch.put(bands.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1").select("band", "least"), "shared")
-    members = scratch.put(bands.join(small(shared, shared.count(), 48), "band"), "members")
+    shared = bands.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct("node", "size")).alias("p")).where("n > 1")
+    shared = scratch.put(shared.select("band", "n", F.col("p.node").alias("a"), F.col("p.size").alias("a_size")), "shared")
+    facts = shared.agg(F.count("*").alias("k"), F.sum("n").alias("n")).first()
+    n = facts["n"] or 0
+    members = bands.join(F.broadcast(shared.drop("n")), "band") if facts["k"] * 48 <= BROADCAST_BYTES else lookup(bands, shared, "band", n)
+    members = scratch.put(members.select("band", "node", "size", "a", "a_size"), "members")
     stored = scratch.put(texts(members.select("node").distinct()), "texts")
 
-    def edges(pairs: DataFrame, name: str) -> DataFrame:
+    def edges(pairs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
         todo = scratch.put(pairs.where(close).select("a", "b").distinct(), f"{name}-pairs")
-        found = scratch.put(checked(todo, stored, check, prepare, spark), f"{name}-links")
-        return todo, found
+        return todo, scratch.put(checked(todo, stored, check, prepare, spark), f"{name}-links")
 
-    size = members.select(F.col("node").alias("least"), F.col("size").alias("a_size")).distinct()
-    star = members.where("node <> least").join(size, "least").select(F.col("least").alias("a"), F.col("node").alias("b"), "a_size", F.col("size").alias("b_size"))
-    done, links = edges(star, "first")
+    done, links = edges(members.where("node <> a").select("a", F.col("node").alias("b"), "a_size", F.col("size").alias("b_size")), "first")
 
-    def open_members() -> DataFrame:
-        """Members of the bands that span several components, with their component and common shingles."""
-        label = components(links, scratch)
-        own = members.join(label, "node", "left").select("band", "node", "size", F.coalesce("label", "node").alias("label"))
-        wide = own.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band")
-        return _with_common(scratch.put(own.join(wide, "band"), "open"), stored, prepare, scratch, similarity)
+    def open_members(labels: DataFrame) -> tuple[DataFrame, int]:
+        """Members of the bands that span several components, with their component and common shingles; how many there are."""
+        own = scratch.put(members.select("band", "node", "size").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "own")
+        wide = own.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
+        wide = scratch.put(wide.select("band", "n"), "wide")
+        out = _with_common(scratch.put(lookup(own, wide, "band", wide.agg(F.sum("n")).first()[0] or 0), "open"), stored, prepare, scratch, similarity)
+        return out, out.count()
 
     def named(x: str, of: str = "") -> list:
         return [F.col(f"{of}{c}").alias(f"{x}_{c}" if c != "node" else x) for c in ("node", "size", "label", "common")]
@@ -122,20 +138,30 @@ def classes(spark: SparkSession, scratch: Scratch, bands: DataFrame, texts: Call
     both = F.aggregate(F.zip_with("a_common", "b_common", lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x)
     enough = (F.col("a_label") != F.col("b_label")) & (both * F.lit(1 + similarity) >= F.lit(similarity) * (F.col("a_size") + F.col("b_size")) - 1e-6)
 
-    still = open_members()
-    own = F.struct((F.col("size") - _total("common")) / F.col("size"), F.xxhash64("node", "band"))
-    pick = still.groupBy("band").agg(F.min_by(F.struct("node", "size", "label", "common"), own).alias("p"))
-    star = still.join(pick, "band").select(*named("a", "p."), *named("b")).where(enough)
-    star = star.withColumn("lo", F.least("a", "b")).withColumn("b", F.greatest("a", "b")).select(F.col("lo").alias("a"), "b", "a_size", "b_size")
-    tried, more = edges(star.join(done, ["a", "b"], "left_anti"), "second")
-    done, links = done.unionByName(tried), links.unionByName(more)
-
-    still = open_members()
-    rest = still.select("band", *named("a")).join(still.select("band", *named("b")), "band").where("a < b").where(enough)
-    _, more = edges(rest.join(done, ["a", "b"], "left_anti"), "rest")
-    return scratch.put(components(links.unionByName(more), scratch), "classes")
-
-
+    labels = scratch.put(components(links, scratch), "labels")
+    still, n = open_members(labels)
+    if n:
+        own = F.struct((F.col("size") - _total("common")) / F.col("size"), F.xxhash64("node", "band"))
+        pick = scratch.put(still.groupBy("band").agg(F.min_by(F.struct("node", "size", "label", "common"), own).alias("p"), F.count("*").alias("n")), "picked")
+        star = lookup(still, pick, "band", n, 16 * PARTS).select(*named("a", "p."), *named("b")).where(enough)
+        star = star.withColumn("lo", F.least("a", "b")).withColumn("b", F.greatest("a", "b")).select(F.col("lo").alias("a"), "b", "a_size", "b_size")
+        tried, more = edges(star.join(done, ["a", "b"], "left_anti"), "second")
+        done, labels = done.unionByName(tried), joined(labels, more, scratch)
+        still, n = open_members(labels)
+    if n:
+        # a band of many open members is cut into tiles of TILE by TILE of them
+        sizes = scratch.put(still.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int")), "sizes")
+        dealt = lookup(still, sizes, "band", n).withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        left = dealt.select("band", F.col("own").alias("x"), F.col("other").alias("y"), *named("a"))
+        right = dealt.select("band", F.col("other").alias("x"), F.col("own").alias("y"), *named("b"))
+        rest = left.join(right, ["band", "x", "y"]).where("a < b").where(enough)
+        _, more = edges(rest.join(done, ["a", "b"], "left_anti"), "rest")
+        labels = joined(labels, more, scratch)
+    return labels
+
+
+#: Open members of a band on either side of one tile of pairs.
+TILE = 1_000
 #: Parts of the hash range for which a node's common shingles are counted apart.
 PARTS = 128
 
@@ -155,18 +181,18 @@ def _with_common(still: DataFrame, stored: DataFrame, prepare, scratch: Scratch,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, len(batch), 256):
-                part = batch.slice(lo, 256)
-                sets = prepare(part.column(1).to_pylist())
+            texts = batch.column(1).to_pylist()
+            for lo, hi in chunks(texts):
+                part, sets = batch.slice(lo, hi - lo), prepare(texts[lo:hi])
                 nodes = np.repeat(part.column(0).to_numpy(), [len(x) for x in sets])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(nodes)], schema=schema)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, len(batch), 256):
-                part = batch.slice(lo, 256)
-                out = []
-                for x, alone in zip(prepare(part.column(1).to_pylist()), part.column(2).to_pylist(), strict=True):
+            texts = batch.column(1).to_pylist()
+            for lo, hi in chunks(texts):
+                part, out = batch.slice(lo, hi - lo), []
+                for x, alone in zip(prepare(texts[lo:hi]), part.column(2).to_pylist(), strict=True):
                     x = x.view(np.int64)
                     x = x[~np.isin(x, np.array(alone, dtype=np.int64))] if alone else x
                     out.append(np.bincount(x.view(np.uint64) >> np.uint64(57), minlength=PARTS).tolist())

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, U, as_long, hashed_words, mix, occurrences, shingles, small
+from .common import Scratch, U, as_long, hashed_words, lookup, mix, occurrences, shingles, small, unused
 from .graph import classes, in_band
 
 #: (sketches, shingles a sketch, fewest and most shingles of the texts they are for). Two texts of
@@ -120,7 +120,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, similarity
     sketched = scratch.put(src.where("doc_id is not null").mapInArrow(run, "doc_id long, key binary, size int, bands array<long>"), "sketches")
 
     # exact copies: one node for each word sequence
-    nodes = sketched.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.any_value("size").alias("size"), F.any_value("bands").alias("bands"))
+    nodes = sketched.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.any_value("size").alias("size"), F.any_value("bands").alias("bands"), F.count("*").alias("copies"))
     nodes = scratch.put(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     bands = scratch.put(nodes.select("node", "size", F.explode("bands").alias("band")), "bands")
 
@@ -142,10 +142,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, similarity
     label = classes(spark, scratch, bands, texts, lambda a, b: similar(a, b, similarity), _prepared(k), similarity)
 
     # back to documents: only texts that are in a class of several rows need a join
-    node = nodes.join(label, "node", "left").select("key", "rep", F.coalesce("label", "node").alias("label"))
-    least = node.groupBy("label").agg(F.min("rep").alias("class_id"))
-    by_key = scratch.put(node.join(least, "label").select("key", "class_id"), "keys")
-    by_doc = sketched.where("key is not null").select("doc_id", "key").join(by_key, "key").groupBy("doc_id").agg(F.min_by("class_id", "key").alias("class_id"))
+    node = scratch.put(nodes.join(label, "node", "left").select("key", "rep", "copies", F.coalesce("label", "node").alias("label")), "labelled")
+    least = node.groupBy("label").agg(F.min("rep").alias("class_id"), F.count("*").alias("n"), F.sum("copies").alias("docs")).where("docs > 1")
+    least = scratch.put(least.select("label", "class_id", "n", "docs"), "least")
+    k = least.agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).first()
+    by_key = scratch.put(lookup(node, least.drop("docs"), "label", k["n"] or 0).select("key", "class_id", F.col("copies").alias("n")), "keys")
+    by_doc = lookup(sketched.where("key is not null").select("doc_id", "key"), by_key, "key", k["docs"] or 0).groupBy("doc_id").agg(F.min_by("class_id", "key").alias("class_id"))
     by_doc = scratch.put(by_doc.where("class_id <> doc_id"), "moved")
     by_doc = small(by_doc, by_doc.count(), 32)
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(by_doc, "doc_id", "left")
@@ -154,5 +156,6 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, similarity
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
     """`docs` with one document of each class, the one of least doc_id; nulls as in near_duplicates."""
-    gone = near_duplicates(spark, docs, k, similarity).where("not is_kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("gone_id"), "left_anti")
+    name = unused("gone_id", docs)
+    gone = near_duplicates(spark, docs, k, similarity).where("not is_kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, docs["doc_id"] == F.col(name), "left_anti")
