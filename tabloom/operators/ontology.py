@@ -50,7 +50,7 @@ def diff_aliases(manual: DataFrame, resolved: DataFrame) -> DataFrame:
 
 def check_values(rows: DataFrame, column: str, valid: DataFrame, value: str) -> DataFrame:
     """`rows` with is_valid: blank, null, nan and none pass, others must be in the vocabulary (case-insensitive)."""
-    v = F.broadcast(valid.select(F.lower(F.trim(value)).alias("tb_v")).distinct())
+    v = valid.select(F.lower(F.trim(value)).alias("tb_v")).distinct()  # Spark broadcasts it if it is small
     k = F.lower(F.trim(F.col(column).cast("string")))
     j = rows.withColumn("tb_k", k).join(v, F.col("tb_k") == F.col("tb_v"), "left")
     blank = F.col("tb_k").isNull() | F.col("tb_k").isin("", "nan", "none")
@@ -59,7 +59,7 @@ def check_values(rows: DataFrame, column: str, valid: DataFrame, value: str) ->
 
 def unmatched(headers: DataFrame, aliases: DataFrame, key: str) -> DataFrame:
     """Headers that no alias covers."""
-    return headers.join(F.broadcast(aliases.select(key).distinct()), key, "left_anti")
+    return headers.join(aliases.select(key).distinct(), key, "left_anti")
 
 
 def match_headers(headers: DataFrame, aliases: DataFrame) -> DataFrame:

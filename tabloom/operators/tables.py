@@ -42,6 +42,31 @@ def parse(docs: DataFrame, text: str = "text") -> DataFrame:
     return rows.select(*keep, "title", "headers", "row_idx", total.alias("is_total"), pipe_cells(F.regexp_replace("line", r"^\|\|", "|")).alias("cells"))
 
 
+def section_label(line: Column) -> Column:
+    """The label of a `**LABEL**` line or of a row with only its first cell; null for other lines."""
+    cells = pipe_cells(line)
+    lone = (F.size(cells) > 1) & (cells[0] != "") & F.forall(F.slice(cells, 2, 1 << 30), lambda c: c == "")
+    bold = F.regexp_extract(line, r"^\*\*(.+?)\*\*\s*$", 1)
+    return F.when(bold != "", F.trim(bold)).when(line.startswith("|") & ~line.startswith("||") & lone, cells[0])
+
+
+def table_lines(text: Column) -> Column:
+    """The first table of a normalised text: struct(title, header, rows), rows an array of (section, line) without totals.
+
+    Title is the last `## ` line before the header. Separators and repeated headers are no rows; a section label holds for the rows below it.
+    """
+    lines = F.filter(F.split(text, "\n"), lambda x: x.startswith("|") | x.startswith("## ") | x.startswith("**"))
+    lines = F.filter(lines, lambda x: ~is_separator(x))
+    header = F.get(F.filter(lines, lambda x: x.startswith("|") & section_label(x).isNull()), F.lit(0))
+    title = F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.filter(F.slice(lines, 1, F.greatest(F.array_position(lines, header).cast("int") - 1, F.lit(0))), lambda x: x.startswith("## "))), -1)
+    marked = F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("line"), section_label(x).alias("label")))
+    labels = F.filter(marked, lambda m: m["label"].isNotNull())  # few
+    body = F.filter(marked, lambda m: m["label"].isNull() & m["line"].startswith("|") & ~m["line"].startswith("||") & (m["line"] != header))
+    above = lambda m: F.try_element_at(F.filter(labels, lambda k: k["i"] < m["i"]), F.lit(-1))["label"]
+    rows = F.transform(body, lambda m: F.struct(above(m).alias("section"), m["line"].alias("line")))
+    return F.struct(F.regexp_replace(title, r"^##\s+", "").alias("title"), header.alias("header"), rows.alias("rows"))
+
+
 def unpivot(rows: DataFrame, shared: int = 1) -> DataFrame:
     """One row per parsed row and prefix of compound headers: pivot_name, the shared cells, measure and value.
 
@@ -54,40 +79,6 @@ def unpivot(rows: DataFrame, shared: int = 1) -> DataFrame:
     return long.select(*keep, "shared", F.substring_index("header", " / ", 1).alias("pivot_name"), F.regexp_replace("header", r"^.*? / ", "").alias("measure"), value.alias("value"))
 
 
-def map_to_schema(rows: DataFrame, aliases: DataFrame, schema: list[tuple[str, str]]) -> DataFrame:
-    """Records (one column of text per schema column) from parsed rows, by alias joins.
-
-    `aliases` is (alias, column, kind). A plain header whose alias is known gives its cell to that column. In
-    a compound header each level is looked up: a level known for a float column makes the cell that column's
-    value, one known for another column makes the level's own text its value; the levels' texts together are
-    the group, and there is one record per row and group. Unknown levels drop the header. Rows with no
-    compound header give one record each.
-    """
-    key = [c for c in rows.columns if c not in ("headers", "cells")]
-    look = F.broadcast(aliases.select(normalize_alias("alias").alias("tb_alias"), F.col("column").alias("tb_column"), F.col("kind").alias("tb_kind")).distinct())
-    heads = rows.select("headers").distinct().select("headers", F.posexplode("headers").alias("pos", "header"))
-    parts = heads.select("headers", "pos", F.size(compound_parts("header")).alias("n"), F.posexplode(compound_parts("header")).alias("level", "part"))
-    known = parts.join(look, normalize_alias("part") == F.col("tb_alias"), "left")
-    from_cell = (F.col("n") == 1) | (F.col("tb_kind") == "float")
-    plan = known.groupBy("headers", "pos", "n").agg(
-        F.countDistinct("level").alias("levels"), F.count_if(F.col("tb_column").isNull()).alias("lost"),
-        F.array_sort(F.collect_list(F.when(~from_cell, F.struct("tb_column", "part")))).alias("dims"),
-        F.collect_set(F.when(from_cell, F.col("tb_column"))).alias("measures"),
-    ).where("lost = 0")
-    # the plan has one row per distinct header, not per document row
-    cells = rows.select(*key, "headers", "row_idx", F.posexplode("cells").alias("pos", "cell")) if "row_idx" not in key else rows.select(*key, "headers", F.posexplode("cells").alias("pos", "cell"))
-    hit = cells.join(plan, ["headers", "pos"])
-    shared = hit.where("n = 1").groupBy(*key).agg(*[F.max(F.when(F.array_contains("measures", c), F.col("cell"))).alias(f"s_{c}") for c, _ in schema])
-    dim = lambda c: F.max(F.get(F.transform(F.filter("dims", lambda d: d["tb_column"] == c), lambda d: d["part"]), F.lit(0)))
-    grouped = hit.where("n > 1").groupBy(*key, "dims").agg(*[F.coalesce(F.max(F.when(F.array_contains("measures", c), F.col("cell"))), dim(c)).alias(f"g_{c}") for c, _ in schema])
-    null_safe = [shared[k].eqNullSafe(grouped[k]) for k in key]
-    cond = null_safe[0]
-    for x in null_safe[1:]:
-        cond = cond & x
-    both = shared.join(grouped, cond, "left")
-    return both.select(*[shared[k] for k in key], *[F.coalesce(F.col(f"g_{c}"), F.col(f"s_{c}")).alias(c) for c, _ in schema])
-
-
 def classify(tables: DataFrame, text: Column | str, categories: dict[str, list[str]]) -> Column:
     """Name of the category with most keyword hits, the first on a tie, `other` with none."""
     score = {k: sum((F.when(keyword_matches(text, w.lower()), 1).otherwise(0) for w in ws), F.lit(0)) for k, ws in categories.items()}
@@ -166,7 +157,7 @@ def map_transposed(rows: DataFrame, aliases: DataFrame, columns: list[str]) -> D
     # the header row is a labelled row like the others
     first = every.select(*keep, F.col("headers").alias("cells")).distinct()
     both = first.unionByName(every.select(*keep, "cells"))
-    look = F.broadcast(aliases.groupBy(normalize_alias("alias").alias("tb_alias")).agg(F.max("column").alias("tb_column")))
+    look = aliases.groupBy(normalize_alias("alias").alias("tb_alias")).agg(F.max("column").alias("tb_column"))
     hit = both.join(look, normalize_alias(F.col("cells")[0]) == F.col("tb_alias"))
     cells = hit.select(*keep, "tb_column", F.posexplode(F.slice("cells", 2, 4)).alias("record_idx", "value"))
     out = cells.groupBy(*keep, "record_idx").agg(F.countDistinct("tb_column").alias("tb_n"), *[F.max(F.when(F.col("tb_column") == c, F.col("value"))).alias(c) for c in columns])

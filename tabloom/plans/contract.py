@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import coerce, format_date, format_number, format_text, title_case
 from ..operators.ontology import latest
-from ..operators.tables import map_to_schema, parse
+from .mapping import mapped_rows
 
 
 @dataclass(frozen=True)
@@ -78,17 +78,18 @@ def formatted(c: ColumnSpec) -> Column:
     return format_text(c.name, c.format)
 
 
-def interpret(spark: SparkSession, docs: DataFrame, out: OutputSpec, key: str, years: list[str] = (), report_date: str | None = None) -> DataFrame:
-    """Typed rows of one output from documents of pipe tables, in contract column order."""
-    mapped = [c for c in out.columns if not c.source]
-    rows = parse(docs).where("not is_total").drop("is_total")
-    records = map_to_schema(rows, alias_table(spark, out, years), [(c.name, c.kind) for c in mapped])
-    added = {"title": F.coalesce("title", F.lit("Unknown")), "report_date": F.lit(report_date)}
+def interpret(spark: SparkSession, docs: DataFrame, out: OutputSpec, key: str | list[str], years: list[str] = (), report_date: str | Column | None = None) -> DataFrame:
+    """Typed rows of one output from documents of pipe tables (one table each), in contract column order after the key's columns."""
+    keys = [key] if isinstance(key, str) else list(key)
+    mapped = [(c.name, c.kind, year_aliases(c.aliases or (c.name,), list(years))) for c in out.columns if not c.source]
+    records = mapped_rows(docs.select(*keys, "text"), mapped)
+    date = report_date if isinstance(report_date, Column) else F.lit(report_date)
+    added = {"title": F.coalesce("title", F.lit("Unknown")), "report_date": date}
     cols = [coerce(c.name, c.kind, c.format).alias(c.name) if not c.source else added.get(c.source, F.lit(c.value)).alias(c.name) for c in out.columns]
-    typed = records.select(key, *cols)
+    typed = records.select(*keys, *cols)
     for c in out.columns:
         if c.filter in ("latest", "earliest"):
-            typed = latest(typed, [key], c.name, c.filter == "earliest")
+            typed = latest(typed, keys, c.name, c.filter == "earliest")
         if c.kind == "string" and c.format in ("lowercase", "uppercase", "titlecase"):
             typed = typed.withColumn(c.name, {"lowercase": F.lower, "uppercase": F.upper, "titlecase": title_case}[c.format](F.col(c.name)))
     return typed
