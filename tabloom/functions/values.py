@@ -79,7 +79,7 @@ def coerce(x: Column | str, kind: str, pattern: str | None = None) -> Column:
 
 
 def format_number(x: Column | str, pattern: str) -> Column:
-    """Text of a number by a pattern; decimals are rounded half-even, as binary fractions print."""
+    """Text of a number by a pattern; decimals are rounded half-even, as binary fractions print; nan, inf and -inf for what isn't finite."""
     f = NumberFormat.of(pattern)
     size = F.abs(col(x))
     if f.places:
@@ -92,7 +92,10 @@ def format_number(x: Column | str, pattern: str) -> Column:
     out = F.concat(whole, F.lit(f.decimal), part) if f.places else whole
     less = F.concat(F.lit("("), out, F.lit(")")) if f.parens else F.concat(F.lit("-"), out)
     out = F.when(col(x) < 0, less).otherwise(F.concat(F.lit("+"), out) if f.sign else out)
-    return F.concat(out, F.lit("%")) if f.percent else out
+    out = F.concat(out, F.lit("%")) if f.percent else out
+    # what is no finite number prints as such, in one spelling
+    x = col(x).cast("double")
+    return F.when(x.isNull(), F.lit(None)).when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf").otherwise(out)
 
 
 def parse_date(x: Column | str) -> Column:

@@ -96,3 +96,18 @@ def match_lists(reference: list[str], candidate: list[str], threshold: float = 8
             out.append((r, -c, score))
             del free[-c]
     return out if len(out) >= 2 else None
+
+
+def suggestions(asked: Column, labels: list[str], most: int = 5, above: float = 50.0) -> Column:
+    """array of struct(label, score): the best labels by ratio over `above`, best first, ties in the labels' order; empty for null."""
+    low = [x.lower() for x in labels]
+
+    @F.pandas_udf("array<struct<label:string,score:double>>")
+    def run(s: pd.Series) -> pd.Series:
+        out = []
+        for x in s:
+            scored = sorted(((-ratio(x.lower(), y), i) for i, y in enumerate(low)) if x else [])
+            out.append([{"label": labels[i], "score": -v} for v, i in scored[:most] if -v > above])
+        return pd.Series(out, dtype=object)
+
+    return run(asked)

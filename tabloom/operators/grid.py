@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import col
+from ..functions.text import cell_type, col
 
 
 def islands(df: DataFrame, part: list[str], order: str, gap: float, out: str = "cluster") -> DataFrame:
@@ -51,22 +51,62 @@ def upper_median(df: DataFrame, part: list[str], value: str, out: str) -> DataFr
 
 
 def nearest_column(spans: DataFrame, columns: DataFrame, part: list[str], x: str, start: str, tolerance: Column | float) -> DataFrame:
-    """Each span with the canonical column of the least distance and whether it is within tolerance.
+    """Each span with the canonical column of the least distance (the left one on a tie) and whether it is within tolerance.
 
-    Columns are few for each page, so the join is by page.
+    A page's columns are few: they are gathered into an array of its row, so every span, equal ones too, is one row throughout. Spans of pages without columns are left out.
     """
-    near = spans.join(columns, part)
-    best = near.groupBy(*[c for c in spans.columns]).agg(F.min(F.struct(F.abs(F.col(x) - F.col(start)).alias("d"), F.col(start).alias("c"))).alias("b"))
-    return best.select(*spans.columns, F.col("b.c").alias("column_start"), (F.col("b.d") <= tolerance).alias("within"))
+    listed = columns.groupBy(*part).agg(F.collect_list(start).alias("tb_starts"))
+    best = F.array_min(F.transform("tb_starts", lambda c: F.struct(F.abs(F.col(x) - c).alias("d"), c.alias("c"))))
+    near = spans.join(listed, part).withColumn("tb_best", best)
+    return near.select(*spans.columns, F.col("tb_best.c").alias("column_start"), (F.col("tb_best.d") <= tolerance).alias("within"))
 
 
 def header_overlap(spans: DataFrame, bounds: DataFrame, part: list[str]) -> DataFrame:
-    """Header spans (lo, hi) to column bounds (col_lo, col_hi): largest overlap, then least distance."""
-    both = spans.join(bounds, part)
-    overlap = F.greatest(F.least("hi", "col_hi") - F.greatest("lo", "col_lo"), F.lit(0))
-    far = F.abs((F.col("lo") + F.col("hi")) / 2 - (F.col("col_lo") + F.col("col_hi")) / 2)
-    best = both.groupBy(*spans.columns).agg(F.min(F.struct((-overlap).alias("o"), far.alias("d"), F.col("col_idx").alias("c"))).alias("b"))
-    return best.select(*spans.columns, F.col("b.c").alias("col_idx"), (-F.col("b.o")).alias("overlap"))
+    """Header spans (lo, hi) to column bounds (col_idx, col_lo, col_hi): largest overlap, then least distance, then the first; one row for each span, equal ones too."""
+    listed = bounds.groupBy(*part).agg(F.collect_list(F.struct("col_lo", "col_hi", "col_idx")).alias("tb_bounds"))
+
+    def rank(c: Column) -> Column:
+        overlap = F.greatest(F.least(F.col("hi"), c["col_hi"]) - F.greatest(F.col("lo"), c["col_lo"]), F.lit(0))
+        far = F.abs((F.col("lo") + F.col("hi")) / 2 - (c["col_lo"] + c["col_hi"]) / 2)
+        return F.struct((-overlap).alias("o"), far.alias("d"), c["col_idx"].alias("c"))
+
+    best = spans.join(listed, part).withColumn("tb_best", F.array_min(F.transform("tb_bounds", rank)))
+    return best.select(*spans.columns, F.col("tb_best.c").alias("col_idx"), (-F.col("tb_best.o")).alias("overlap"))
+
+
+def column_bounds(spans: DataFrame, part: list[str], column: str) -> DataFrame:
+    """(part, column, lo, hi): least start and greatest end of a column's spans."""
+    return spans.groupBy(*part, column).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+
+def title_groups(headings: DataFrame, part: list[str], row: str, text: str, gap: int = 3) -> DataFrame:
+    """(part, first_row, title): headings at most `gap` rows apart, joined by a blank from the top."""
+    grouped = islands(headings, part, row, gap, "tb_group")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(row, text))), lambda s: s[text]), " ")
+    return grouped.groupBy(*part, "tb_group").agg(F.min(row).alias("first_row"), joined.alias("title")).drop("tb_group")
+
+
+def label_above(regions: DataFrame, part: list[str], order: str, kind: str, text: str, most: int = 50) -> DataFrame:
+    """Regions with `label`: for a table, the heading under `most` characters above it, over scattered regions only."""
+    w = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    stop = F.when(F.col(kind) != "scattered", F.struct(F.col(kind).alias("k"), F.col(text).alias("t")))
+    above = F.last(stop, ignorenulls=True).over(w)
+    label = F.when((F.col(kind) == "table") & (above["k"] == "heading") & (F.length(above["t"]) < most), above["t"])
+    return regions.withColumn("label", label)
+
+
+def title_paragraph(body: DataFrame, part: list[str], order: str, kind: str, text: str) -> DataFrame:
+    """Tables of a document body (kind p or tbl) with `title`: the nearest filled paragraph before, if no other table is between."""
+    w = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    mark = F.when(F.col(kind) != "p", F.struct(F.lit(None).cast("string").alias("t"))).when(F.trim(text) != "", F.struct(F.trim(text).alias("t")))
+    return body.withColumn("title", F.last(mark, ignorenulls=True).over(w)["t"]).where(F.col(kind) != "p")
+
+
+def fill_within_kind(df: DataFrame, part: list[str], order: str, value: str, is_text: str, out: str) -> DataFrame:
+    """forward_fill() of a header row that doesn't carry a value from a text column into a numeric one; such cells stay blank."""
+    w = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last(F.when(F.trim(value) != "", F.struct(F.col(value).alias("v"), F.col(is_text).alias("t"))), ignorenulls=True).over(w)
+    return df.withColumn(out, F.when(last["t"] & ~F.col(is_text), F.lit("")).otherwise(F.coalesce(last["v"], F.lit(""))))
 
 
 def zebra(rows: DataFrame, part: list[str], order: str, color: str) -> DataFrame:
@@ -77,9 +117,9 @@ def zebra(rows: DataFrame, part: list[str], order: str, color: str) -> DataFrame
     return out.withColumn("is_zebra", (F.col("changes") >= 4) & (F.col("colors") == 2))
 
 
-def header_length(rows: DataFrame, table: str, row: str, all_text: str) -> DataFrame:
-    """(table, header_rows): rows before the first one that holds a date or a number."""
-    first = F.min(F.when(~F.col(all_text), F.col(row)))
+def header_length(rows: DataFrame, table: str, row: str, cells: str) -> DataFrame:
+    """(table, header_rows): rows before the first one with a date or number cell; 0 if there is none."""
+    first = F.min(F.when(F.exists(F.transform(cells, cell_type), lambda t: t != "string"), F.col(row)))
     return rows.groupBy(table).agg(F.coalesce(first, F.lit(0)).alias("header_rows"))
 
 

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import font_family
 from . import grid as G
 
 PAGE = ["doc", "page_no"]
@@ -103,17 +104,62 @@ def transposed(spans: DataFrame, n_columns: DataFrame, tolerance: int = 3, part:
     return stats.join(n_columns, part).select(*part, ok.alias("is_transposed"))
 
 
-def row_period(counts: list[int]) -> tuple[int, int] | None:
-    """(header rows, period) of records that take several rows each, from the span counts of a table's rows.
+#: Periods of records that take several rows, in the order tried, and the most header rows before them.
+PERIODS, MOST_HEADERS = (3, 2, 4), 10
 
-    Periods 3, 2, 4 in turn, each after 0 to 10 header rows (half the table at most); 70 % of the groups equal the first one.
+
+def row_period(counts: Column | str) -> Column:
+    """struct(header, period) of records that take several rows each, from an array of span counts; null without one.
+
+    Every pair of a period and a header length (half the rows at most) is a candidate; the first holds for which two groups of rows or more
+    follow, 70 % of them equal to the first one, which isn't all of one count.
+    """
+    c = F.col(counts) if isinstance(counts, str) else counts
+    tried = F.array(*[F.struct(F.lit(h).alias("header"), F.lit(p).alias("period")) for p in PERIODS for h in range(MOST_HEADERS + 1)])
+
+    def fits(x: Column) -> Column:
+        n = F.floor((F.size(c) - x["header"]) / x["period"]).cast("int")
+        group = lambda g: F.slice(c, x["header"] + g * x["period"] + 1, x["period"])
+        equal = F.size(F.filter(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda g: group(g) == group(F.lit(0))))
+        return (2 * x["header"] <= F.size(c)) & (n >= 2) & (F.size(F.array_distinct(group(F.lit(0)))) > 1) & (equal >= 0.7 * n)
+
+    return F.get(F.filter(tried, fits), F.lit(0))
+
+
+def merge_periods(spans: DataFrame, periods: DataFrame, part: list[str] = PAGE) -> DataFrame:
+    """Spans (row from 0) of records over several rows as spans of one row each, texts at a column joined by a blank from the top; header rows stay.
+
+    `periods` is (part, header, period); parts without one pass as they are.
     """
-    for period in (3, 2, 4):
-        for header in range(min(10, len(counts) // 2) + 1):
-            groups = [tuple(counts[i : i + period]) for i in range(header, len(counts) - period + 1, period)]
-            if len(groups) >= 2 and len(set(groups[0])) > 1 and groups.count(groups[0]) >= 0.7 * len(groups):
-                return header, period
-    return None
+    j = spans.join(periods, part, "left")
+    group = F.when(F.col("row") < F.col("header"), F.col("row")).otherwise(F.col("header") + F.floor((F.col("row") - F.col("header")) / F.col("period")))
+    j = j.withColumn("tb_group", F.coalesce(group, F.col("row")).cast("int"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "text"))), lambda s: s["text"]), " ")
+    return j.groupBy(*part, F.col("tb_group").alias("row"), "col").agg(text.alias("text"))
+
+
+def split_grids(cells: DataFrame, grids: DataFrame, part: list[str] = PAGE) -> DataFrame:
+    """Cells of a grid (row, column_start, text) with `grid` and `col_idx` in it, of the grids of side_by_side(); grids without a filled cell are dropped and the others numbered anew."""
+    w = Window.partitionBy(*part, "grid").orderBy("start")
+    placed = cells.join(grids.withColumn("col_idx", F.row_number().over(w) - 1).withColumnRenamed("start", "column_start"), [*part, "column_start"])
+    filled = placed.where(F.trim("text") != "").select(*part, "grid").distinct()
+    kept = filled.withColumn("tb_no", F.row_number().over(Window.partitionBy(*part).orderBy("grid")) - 1)
+    return placed.join(kept, [*part, "grid"]).drop("grid").withColumnRenamed("tb_no", "grid")
+
+
+def twin_columns(cells: DataFrame, part: list[str] = PAGE) -> DataFrame:
+    """(part, left, right): neighbouring columns that are never both filled in a row."""
+    filled = cells.where(F.trim("text") != "")
+    cols = filled.groupBy(*part, "col_idx").agg(F.count("*").alias("n"))
+    pair = cols.select(*part, F.col("col_idx").alias("left"), (F.col("col_idx") + 1).alias("right")).join(cols.select(*part, F.col("col_idx").alias("right")), [*part, "right"])
+    both = filled.select(*part, "row", F.col("col_idx").alias("left")).join(filled.select(*part, "row", (F.col("col_idx") - 1).alias("left")), [*part, "row", "left"])
+    return pair.join(both.select(*part, "left").distinct(), [*part, "left"], "left_anti").select(*part, "left", "right")
+
+
+def header_verdict(visual: Column, textual: Column, by_type: Column) -> Column:
+    """Header rows agreed on: what drawings and texts both say, else the one that the type pattern confirms, else the texts'; drawings of none don't count."""
+    v, t, k = visual, textual, by_type
+    return F.when(F.coalesce(v, F.lit(0)) == 0, t).when(v == t, t).when(v == k, v).otherwise(t)
 
 
 def regions(spans: DataFrame, tolerance: int = 3, min_rows: int = 3, part: list[str] = PAGE) -> DataFrame:
@@ -249,7 +295,6 @@ def font_verdicts(spans: DataFrame, part: list[str] = PAGE) -> DataFrame:
     listed = lambda ok, c: F.sort_array(F.collect_list(F.when(ok, F.col(c))))
     by_row = spans.groupBy(*part, "row").agg(share("is_bold").alias("b"), share("is_italic").alias("i"))
     by_row = by_row.groupBy(*part).agg(listed(F.col("b") > 0.5, "row").alias("bold_rows"), listed(F.col("i") > 0.8, "row").alias("italic_rows"))
-    family = F.regexp_replace(F.regexp_replace(F.lower("font"), "-(bold|italic|regular|medium|light|oblique)|mt", ""), "-[^-]*$", "")
-    by_col = spans.groupBy(*part, "col").agg(share("is_mono").alias("m"), F.countDistinct(F.trim(family)).alias("f"))
+    by_col = spans.groupBy(*part, "col").agg(share("is_mono").alias("m"), F.countDistinct(font_family("font")).alias("f"))
     by_col = by_col.groupBy(*part).agg(listed(F.col("m") > 0.5, "col").alias("mono_columns"), listed(F.col("f") > 2, "col").alias("mixed_columns"))
     return page.join(by_row, part).join(by_col, part)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_alias
+from ..functions.text import normalize_alias, trailing_id
 
 
 def narrower(triples: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
@@ -121,3 +121,39 @@ GEO = (
 def read_gazetteer(spark: SparkSession, path: str) -> DataFrame:
     """Features of a tab-separated gazetteer dump; rows without an id are dropped."""
     return spark.read.csv(path, sep="\t", quote="", schema=GEO).where("geoname_id is not null")
+
+
+def read_alternate_names(spark: SparkSession, path: str) -> DataFrame:
+    """(geoname_id, lang, name) of a tab-separated dump of alternate names; links and codes (languages of other than two or three letters) are left out."""
+    kind = "alternate_id long, geoname_id long, lang string, name string, preferred string, short string, colloquial string, historic string, since string, until string"
+    names = spark.read.csv(path, sep="\t", quote="", schema=kind)
+    return names.where("geoname_id is not null and name is not null and (lang is null or lang rlike '^[a-z]{2,3}$')").select("geoname_id", "lang", "name")
+
+
+def enumerate_features(features: DataFrame, country: str, level: str) -> DataFrame:
+    """Features of a country at a level (feature code)."""
+    return features.where((F.col("country_code") == country) & (F.col("feature_code") == level))
+
+
+def enrich_features(uris: DataFrame, features: DataFrame, uri: str = "uri") -> DataFrame:
+    """`uris` with coordinates, administrative code, country and population of the feature whose id ends the URI; null where there is none."""
+    kept = features.select("geoname_id", "lat", "lng", "admin1_code", "country_code", "population")
+    return uris.withColumn("geoname_id", trailing_id(uri)).join(kept, "geoname_id", "left")
+
+
+def search_features(features: DataFrame, text: str, country: str | None = None, code: str | None = None, limit: int = 10) -> DataFrame:
+    """At most `limit` features whose name or plain name holds a text (case doesn't count), the most populous first, ties to the smaller id."""
+    wanted = text.lower()
+    hit = F.lower("name").contains(wanted) | F.lower("asciiname").contains(wanted)
+    hit = hit & (F.col("country_code") == country) if country else hit
+    hit = hit & (F.col("feature_code") == code) if code else hit
+    return features.where(hit).orderBy(F.desc_nulls_last("population"), "geoname_id").limit(limit)
+
+
+def samples(df: DataFrame, columns: list[str], most: int = 10) -> DataFrame:
+    """(column, distinct_values, samples): the `most` least distinct texts of each column, by rank rather than by gathering all values."""
+    cell = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v")) for c in columns])).alias("x")
+    each = df.select(cell).select("x.*").where("v is not null").distinct()
+    w = Window.partitionBy("column").orderBy("v")
+    first = each.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most).groupBy("column").agg(F.array_sort(F.collect_list("v")).alias("samples"))
+    return each.groupBy("column").agg(F.count("*").alias("distinct_values")).join(first, "column")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import col, compound_parts, header_tokens, is_separator, jaccard, keyword_matches, normalize_alias, normalize_text, pipe_cells, pipe_row
+from ..functions.text import col, compound_parts, header_tokens, is_separator, jaccard, keyword_hit, keyword_matches, keyword_text, normalize_alias, normalize_text, pipe_cells, pipe_row
 
 
 def render(rows: DataFrame, doc: str, label: str, header: str, value: str, corner: str) -> DataFrame:
@@ -81,7 +83,13 @@ def unpivot(rows: DataFrame, shared: int = 1) -> DataFrame:
 
 def classify(tables: DataFrame, text: Column | str, categories: dict[str, list[str]]) -> Column:
     """Name of the category with most keyword hits, the first on a tie, `other` with none."""
-    score = {k: sum((F.when(keyword_matches(text, w.lower()), 1).otherwise(0) for w in ws), F.lit(0)) for k, ws in categories.items()}
+    def one(prepared: Column) -> Column:
+        hits = {k: [keyword_hit(prepared, w) if re.fullmatch(r"[A-Za-z\s]+", w) else keyword_matches(text, w) for w in ws] for k, ws in categories.items()}
+        return F.struct(*[sum((F.when(h, 1).otherwise(0) for h in hs), F.lit(0)).alias(k) for k, hs in hits.items()])
+
+    # the text is made ready once for all keywords: as the only element of an array it is bound to a variable
+    scores = F.transform(F.array(keyword_text(text)), one)[0]
+    score = {k: scores[k] for k in categories}
     best = F.greatest(*score.values()) if len(score) > 1 else next(iter(score.values()))
     out = F.when(best <= 0, "other")
     for k, s in score.items():

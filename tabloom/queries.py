@@ -541,8 +541,9 @@ def dedupe_fragments(spark, sf):
 
 @query("""SELECT o_custkey AS t, coalesce(min(CASE WHEN o_orderstatus = 'F' THEN o_orderkey END), 0) AS header_rows FROM orders GROUP BY 1""")
 def header_row_estimate(spark, sf):
-    rows = table(spark, sf, "orders").select(F.col("o_custkey").alias("t"), F.col("o_orderkey").alias("row"), (F.col("o_orderstatus") != "F").alias("texts"))
-    return G.header_length(rows, "t", "row", "texts")
+    number = F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice").cast("string")).otherwise("none")
+    rows = table(spark, sf, "orders").select(F.col("o_custkey").alias("t"), F.col("o_orderkey").alias("row"), F.array("o_orderstatus", number).alias("cells"))
+    return G.header_length(rows, "t", "row", "cells")
 
 
 @query("""WITH v AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1), k AS (SELECT o_custkey, n, count(*) AS seen FROM v JOIN orders ON l_orderkey = o_orderkey WHERE n >= 2 GROUP BY ALL)
@@ -601,3 +602,6 @@ def concept_labels(spark, sf):
     names = n.select(F.col("n_nationkey").alias("concept"), "n_name", F.explode(F.array(F.lit("en"), F.lit("fr"))).alias("lang"))
     names = names.select("concept", F.col("n_name").alias("label"), "lang", F.explode(F.array(F.lit("pref"), F.lit("alt"))).alias("kind"))
     return O.labels(n.select(F.col("n_nationkey").alias("concept")), names, ["en"], ["pref"]).select("concept", "label", "lang", "kind")
+
+
+from . import queries_documents  # noqa: E402, F401  (registers its queries)

@@ -63,7 +63,8 @@ def test_regions_and_grids(spark):
     assert (5, 0, "4") in rows_of(L.to_grid(spans, cols), "row", "column_start", "text")
     wide = spark.createDataFrame([(1, 0, c) for c in (0, 10, 20, 80, 90)], "doc int, page_no int, start int")
     assert rows_of(L.side_by_side(wide), "start", "grid") == [(0, 0), (10, 0), (20, 0), (80, 1), (90, 1)]
-    assert L.row_period([1, 3, 4, 2, 3, 4, 2, 3, 4, 2]) == (1, 3) and L.row_period([2] * 9) is None and L.row_period([]) is None
+    runs = spark.createDataFrame([(0, [1, 3, 4, 2, 3, 4, 2, 3, 4, 2]), (1, [2] * 9), (2, []), (3, [2, 1, 2, 1, 2, 1]), (4, None)], "i int, c array<int>")
+    assert [r[0] and tuple(r[0]) for r in runs.orderBy("i").select(L.row_period("c")).collect()] == [(1, 3), None, None, (0, 2), None]
 
 
 def test_drawings_and_fonts(spark):
