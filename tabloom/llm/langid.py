@@ -7,7 +7,6 @@ language) gains, which selects the set of languages. The prediction is the large
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,22 +14,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import with_fields
+from .common import bounded_batches, small, with_fields
 from .sampling import bounded, fold
 
 #: Bound of the fit: documents of each language.
 LANGUAGE_ROWS = 1_000
 #: n-grams are hashed to so many values.
 BITS = 15
-_OTHER = re.compile(r"[\W\d_]+")
+_letters: list[np.ndarray] = []
+
+
+def _letter(most: int) -> np.ndarray:
+    """Whether a code point is a letter, for code points up to `most` at least."""
+    if not _letters or len(_letters[0]) <= most:
+        n = 0x3000 if most < 0x3000 else 0x110000
+        _letters[:] = [np.fromiter((chr(c).isalpha() for c in range(n)), dtype=bool, count=n)]
+    return _letters[0]
 
 
 def grams(text: str | None) -> np.ndarray:
-    """Hashed runs of one to three characters of the lower-cased letters, words apart by one blank."""
-    s = _OTHER.sub(" ", text.lower()).strip() if text else ""
-    if not s:
+    """Hashed runs of one to three characters of the lower-cased letters, words (runs of letters) apart by one blank."""
+    if not text:
+        return np.empty(0, dtype=np.int64)
+    c = np.frombuffer(f" {text.lower()} ".encode("utf-32-le"), dtype=np.uint32)
+    letter = _letter(int(c.max()))[c]
+    if not letter.any():
         return np.empty(0, dtype=np.int64)
-    c = np.frombuffer(f" {s} ".encode("utf-32-le"), dtype=np.uint32)
+    keep = letter.copy()
+    keep[1:] |= letter[:-1]  # what comes after a word's last letter is its blank
+    c = np.concatenate([[np.uint32(32)], np.where(letter, c, np.uint32(32))[keep]]).astype(np.uint32)
     shift = np.uint32(32 - BITS)
     one = c * np.uint32(2654435761)
     two = (one[:-1] ^ (c[1:] * np.uint32(2246822519) + np.uint32(1))) * np.uint32(3266489917)
@@ -91,7 +103,7 @@ class LanguageModel:
 def learn(docs: DataFrame) -> LanguageModel:
     """Counts n-grams of at most about LANGUAGE_ROWS documents of each language, outside the held-out quarter."""
     rows = docs.where("doc_id is not null and lang is not null").where(fold(4) != 2).select("doc_id", "lang", F.col("text").cast("string").alias("text"))
-    ids = F.broadcast(bounded(rows.select("doc_id", "lang").distinct(), "lang", LANGUAGE_ROWS))
+    ids = bounded(rows.select("doc_id", "lang").distinct(), "lang", LANGUAGE_ROWS)
 
     def run(batches):
         total: dict[str, np.ndarray] = {}
@@ -103,8 +115,9 @@ def learn(docs: DataFrame) -> LanguageModel:
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], names=["lang", "g", "n"])
 
-    got = rows.join(ids, ["doc_id", "lang"]).select("lang", "text").mapInArrow(run, "lang string, g long, n long").groupBy("lang").agg(F.collect_list(F.struct("g", "n")).alias("c"))
-    # a language has at most 2^BITS hashed n-grams per task of the bounded sample
+    each = rows.join(small(ids, ids.count(), 48), ["doc_id", "lang"]).select("lang", "text").mapInArrow(run, "lang string, g long, n long")
+    # a language has at most 2^BITS hashed n-grams
+    got = each.groupBy("lang", "g").agg(F.sum("n").alias("n")).groupBy("lang").agg(F.collect_list(F.struct("g", "n")).alias("c"))
     counts: dict[str, np.ndarray] = {}
     for r in got.toLocalIterator():
         c = np.zeros(1 << BITS)
@@ -126,6 +139,7 @@ def identify(spark: SparkSession, docs: DataFrame) -> DataFrame:
     letter are `und` with score 0, as is every text where there is nothing to learn from. held_out is false
     for a null doc_id. Ties go to the smaller language name. Columns with the names added are replaced.
     """
+    bounded_batches(spark)
     model = spark.sparkContext.broadcast(learn(docs))
     plain = docs.drop("held_out", "lang_pred", "score", "languages")
     names = plain.columns
