@@ -7,6 +7,7 @@ more often in toxic texts, don't make a neutral sentence toxic.
 
 from __future__ import annotations
 
+import logging
 import re
 from collections import Counter
 from dataclasses import dataclass
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import with_fields, words
+from .common import Scratch, bounded_batches, small, with_fields, words
 from .sampling import bounded, fold
 
 #: Terms that name groups, by list; a term is swapped for the next of its own list.
@@ -35,7 +36,9 @@ IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
     ("musulmanes", "cristianos", "judíos", "hindúes", "ateos"),
     ("mujeres", "hombres"),
 )
-#: Bounds of the fit: rows of each label, features kept.
+log = logging.getLogger(__name__)
+
+#: Bounds of the fit: rows of each label, and features kept (those that tell the labels apart best).
 LABEL_ROWS, FEATURES = 6_000, 600
 _SENTENCE = re.compile(r"[^.!?\n]+")
 
@@ -71,6 +74,7 @@ class ToxicModel:
     vocabulary: dict[str, int]
     w: np.ndarray
     bias: float
+    n_swapped: int = 0  # labelled texts in whose sentences group terms were swapped
 
     def score(self, ws) -> float:
         get = self.vocabulary.get
@@ -110,13 +114,15 @@ def fit(x: np.ndarray, y: np.ndarray, d: np.ndarray, weight: np.ndarray, l2: flo
     return w[:-1], float(w[-1])
 
 
-def learn(docs: DataFrame, labels: DataFrame, terms=IDENTITY_TERMS) -> ToxicModel:
-    """Fits on at most about LABEL_ROWS rows of each label, outside the held-out quarter."""
+def learn(docs: DataFrame, labels: DataFrame, terms=IDENTITY_TERMS, mu: float = 10.0) -> ToxicModel:
+    """Fits on at most about LABEL_ROWS rows of each label, outside the held-out quarter; `mu` weighs the counterfactual penalty."""
+    scratch = Scratch(docs.sparkSession, "toxic")
     swap = swaps(terms)
     y = labels.where("doc_id is not null and toxic is not null").where(fold(4) != 2).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     sizes = {r["y"]: r["count"] for r in y.groupBy("y").count().collect()}
-    y = F.broadcast(bounded(y, "y", LABEL_ROWS))
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(y, "doc_id")
+    y = bounded(y, "y", LABEL_ROWS)
+    # the sample is read three times; all texts are read once for it
+    rows = scratch.put(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(small(y, y.count(), 32), "doc_id"), "sample")
 
     def counted(batches):
         total: dict[int, Counter] = {}
@@ -163,8 +169,10 @@ def learn(docs: DataFrame, labels: DataFrame, terms=IDENTITY_TERMS) -> ToxicMode
     label = np.array([1.0 if r[1] == 1 else 0.0 for r in got])
     full1, full0 = sizes.get(1, 0), sum(v for k, v in sizes.items() if k != 1)
     weight = np.where(label == 1, full1 / n1, full0 / n0)
-    w, bias = fit(x, label, np.array(change, dtype=np.float32).reshape(len(change), len(vocabulary)), weight)
-    return ToxicModel(vocabulary, w, bias)
+    if not change:
+        log.warning("no labelled sentence names a group: the counterfactual penalty has nothing to act on")
+    w, bias = fit(x, label, np.array(change, dtype=np.float32).reshape(len(change), len(vocabulary)), weight, mu=mu)
+    return ToxicModel(vocabulary, w, bias, len(change))
 
 
 def score_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = 0.3, terms=IDENTITY_TERMS) -> DataFrame:
@@ -176,6 +184,7 @@ def score_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, thre
     labels to learn from every score is the same, below the threshold. Columns named held_out, score or
     predicted are replaced.
     """
+    bounded_batches(spark)
     model = spark.sparkContext.broadcast(learn(docs, labels, terms))
     plain = docs.drop("held_out", "score", "predicted")
     names = plain.columns
