@@ -8,13 +8,15 @@ are dealt to partitions by a hash and sorted by it, which is a global shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, small
+from .common import Scratch, small, unused
 
 #: Hash tasks over which a source's documents are spread where the rates can't be broadcast.
 SALTS = 64
+#: Copies that are made of a document at once; a document of more copies is dealt to several tasks first.
+COPIES = 1_000
 
 
 def uniform(seed: str, *keys: Column) -> Column:
@@ -23,16 +25,18 @@ def uniform(seed: str, *keys: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def poisson_quantiles(rate: Column) -> Column:
-    """P(N <= 0), P(N <= 1), ... as far as a double tells them from 1, rates above 600 in logarithms."""
-    top = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
-    start = F.struct(F.lit(0.0).alias("cdf"), F.array().cast("array<double>").alias("all"))
+def poisson_quantiles(rates: DataFrame, source: str) -> DataFrame:
+    """(source, first, cdf) of a table (source, rate): cdf holds P(N <= first), P(N <= first + 1), ... as far as a double tells them from 1.
 
-    def step(acc: Column, k: Column) -> Column:
-        cdf = acc["cdf"] + F.exp(k * F.log(rate) - rate - _log_factorial(k))
-        return F.struct(cdf.alias("cdf"), F.concat(acc["all"], F.array(cdf)).alias("all"))
-
-    return F.when(rate > 0, F.aggregate(F.sequence(F.lit(0), top), start, step, lambda a: a["all"])).otherwise(F.array(F.lit(1.0)))
+    Twelve deviations on either side of the rate are all that a double can tell, so a source takes 24 sqrt(rate) + 60 numbers,
+    summed up in one window; what lies below them has a probability under 1e-30.
+    """
+    far = 12 * F.sqrt("rate") + 30
+    k = rates.where("rate > 0").select(source, "rate", F.explode(F.sequence(F.greatest(F.lit(0), F.floor(F.col("rate") - far)), F.ceil(F.col("rate") + far))).alias("k"))
+    cdf = F.sum(F.exp(F.col("k") * F.log("rate") - F.col("rate") - _log_factorial(F.col("k")))).over(Window.partitionBy(source).orderBy("k"))
+    some = k.withColumn("cdf", cdf).groupBy(source).agg(F.min("k").alias("first"), F.array_sort(F.collect_list(F.struct("k", "cdf"))).alias("all"))
+    some = some.select(source, "first", F.transform("all", lambda x: x["cdf"]).alias("cdf"))
+    return some.unionByName(rates.where("rate <= 0").select(source, F.lit(0).cast("long").alias("first"), F.array(F.lit(1.0)).alias("cdf")))
 
 
 def _log_factorial(k: Column) -> Column:
@@ -43,7 +47,7 @@ def _log_factorial(k: Column) -> Column:
     return F.when(k <= 20, small_k).otherwise(big)
 
 
-def mixing_rates(docs: DataFrame, weights: dict[str, float] | None = None, budget: float = 1.0) -> DataFrame:
+def mixing_rates(docs: DataFrame, scratch: Scratch, weights: dict[str, float] | None = None, budget: float = 1.0) -> DataFrame:
     """(source, rate): the mean number of copies of a document. Without weights all sources weigh the same."""
     n = docs.groupBy("source").agg(F.count("*").alias("n"))
     if weights is None:
@@ -51,9 +55,10 @@ def mixing_rates(docs: DataFrame, weights: dict[str, float] | None = None, budge
     else:
         w = F.create_map(*[F.lit(x) for k, v in weights.items() for x in (k, float(v))])
         n = n.withColumn("weight", F.coalesce(F.element_at(w, F.coalesce("source", F.lit(""))), F.lit(0.0)))
-    total = n.agg(F.sum("n").alias("all_n"), F.sum("weight").alias("all_w"))
-    rate = F.col("weight") / F.col("all_w") * F.col("all_n") / F.col("n") * F.lit(float(budget))
-    return n.join(F.broadcast(total)).select("source", F.coalesce(rate, F.lit(0.0)).alias("rate"))
+    n = scratch.put(n, "sources")
+    total = n.agg(F.sum("n").alias("n"), F.sum("weight").alias("weight")).first()
+    rate = F.col("weight") / F.lit(total["weight"] or 1.0) * F.lit(total["n"] or 0) / F.col("n") * F.lit(float(budget))
+    return n.select("source", F.coalesce(F.when(F.lit(bool(total["weight"])), rate), F.lit(0.0)).alias("rate"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, weights: dict[str, float] | None = None, budget: float = 1.0, seed: str = "mix") -> DataFrame:
@@ -67,19 +72,27 @@ def mix_sources(spark: SparkSession, docs: DataFrame, weights: dict[str, float]
     or shuffle_key are replaced.
     """
     scratch = Scratch(spark, "mix")
-    rates = scratch.put(mixing_rates(docs, weights, budget).withColumn("tb_cdf", poisson_quantiles(F.col("rate"))).select(F.col("source").alias("tb_source"), "tb_cdf"), "rates")
-    size = rates.agg(F.count("*").alias("n"), F.sum(F.size("tb_cdf")).alias("k")).first()
     plain = docs.drop("copy_no", "n_copies", "shuffle_key")
+    source, first, cdf, salt, at = (unused(f"tb_{x}", plain) for x in ("source", "first", "cdf", "salt", "at"))
+    rates = mixing_rates(docs, scratch, weights, budget)
+    quantiles = poisson_quantiles(rates, "source").select(F.col("source").alias(source), F.col("first").alias(first), F.col("cdf").alias(cdf))
+    quantiles = scratch.put(quantiles, "quantiles")
+    size = quantiles.agg(F.count("*").alias("n"), F.sum(F.size(cdf)).alias("k"), F.max(F.col(first) + F.size(cdf)).alias("most")).first()
     wide = size["n"] * 64 + (size["k"] or 0) * 8
-    if small(rates, 1, wide) is not rates:
-        joined = plain.join(F.broadcast(rates), plain["source"].eqNullSafe(F.col("tb_source")))
-    else:  # so many sources that their rates don't fit: a hot source is spread over SALTS tasks
-        spread = rates.withColumn("tb_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        left = plain.withColumn("tb_at", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-        joined = left.join(spread, left["source"].eqNullSafe(F.col("tb_source")) & (F.col("tb_at") == F.col("tb_salt"))).drop("tb_at", "tb_salt")
+    if small(quantiles, 1, wide) is not quantiles:
+        joined = plain.join(F.broadcast(quantiles), plain["source"].eqNullSafe(F.col(source)))
+    else:  # so many sources that their quantiles don't fit: a hot source is spread over SALTS tasks
+        spread = quantiles.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        left = plain.withColumn(at, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+        joined = left.join(spread, left["source"].eqNullSafe(F.col(source)) & (F.col(at) == F.col(salt))).drop(at, salt)
     u = uniform(seed, F.col("doc_id"))
-    counted = joined.withColumn("n_copies", F.size(F.filter("tb_cdf", lambda c: c <= u)).cast("long")).drop("tb_cdf", "tb_source")
-    copies = counted.where("n_copies > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))))
+    below = F.size(F.filter(cdf, lambda c: c <= u))
+    counted = joined.withColumn("n_copies", (F.col(first) + below).cast("long")).drop(cdf, first, source).where("n_copies > 0")
+    if (size["most"] or 0) <= COPIES:
+        copies = counted.withColumn("copy_no", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))))
+    else:  # a document of many copies goes to several tasks, COPIES of them in each
+        dealt = counted.withColumn(at, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_copies") - 1) / COPIES)))).repartition(F.xxhash64("doc_id", at))
+        copies = dealt.withColumn("copy_no", F.explode(F.sequence(F.col(at) * COPIES + 1, F.least(F.col("n_copies"), F.col(at) * COPIES + COPIES)))).drop(at)
     keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(f"{seed}-order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("copy_no").cast("string"))))
     return keyed.repartition(F.col("shuffle_key")).sortWithinPartitions("shuffle_key")
 
@@ -87,10 +100,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, weights: dict[str, float]
 def oracle_mix(source: str, seed: str = "mix") -> str:
     """DuckDB SQL for mix_sources() with default weights and budget over the relation `source`."""
     return f"""
-WITH RECURSIVE docs AS (SELECT * FROM {source}),
+WITH docs AS (SELECT * FROM {source}),
 n AS (SELECT source, count(*) AS n FROM docs GROUP BY source),
 rate AS (SELECT source, (1.0::DOUBLE / (SELECT count(*) FROM n)) * (SELECT sum(n) FROM n)::DOUBLE / n::DOUBLE AS rate FROM n),
-lf AS (SELECT 0::BIGINT AS k, 0.0::DOUBLE AS s UNION ALL SELECT k + 1, s + ln((k + 1)::DOUBLE) FROM lf WHERE k < 5000),
+ks AS (SELECT unnest(range(0, (SELECT max(ceil(rate + 12 * sqrt(rate) + 31))::BIGINT FROM rate))) AS k),
+lf AS (SELECT k, sum(ln(greatest(k, 1)::DOUBLE)) OVER (ORDER BY k) AS s FROM ks),
 pmf AS (SELECT source, k, exp(k * ln(rate) - rate - s) AS p FROM rate, lf WHERE k <= ceil(rate + 12 * sqrt(rate) + 30)),
 cdf AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM pmf),
 drawn AS (SELECT d.*, ('0x' || substr(md5('{seed}|' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS u FROM docs d),
