@@ -7,15 +7,15 @@ hash table of the benchmark's windows, in two ways:
   chains     windows of SEED tokens, runs of names or of numbers (figures or words) being one slot each;
              hits in the same order in item and document are chained over shifts, so that inserted, missing
              and changed words in between don't matter
-For each item found in a document the slots are then compared: the fillings must be one consistent
-renaming (a value of the item always becomes the same value of the document and the other way round),
-which admits re-parameterised questions and rejects chance hits.
+For each item found in a document the slots are then compared: a value of the item must always become the same value of the
+document, and two names of the item never the same name (two numbers may coincide), which admits re-parameterised questions
+and rejects chance hits.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, hash_strings, shingles
+from .common import bounded_batches, chunks, hash_strings, shingles, unused
 
 #: Template tokens of a window; a shorter item is one window.
 WINDOW = 8
@@ -48,11 +48,12 @@ TOKEN = re.compile(r"[0-9][0-9.,]*[0-9]|[0-9]|[^\W\d_]+|[.!?:\n]")
 _END = frozenset(".!?:\n")
 
 
-def tokens(text: str | None) -> tuple[list[str], list[str]]:
+def tokens(text: str | None, common: frozenset[str] | None = None) -> tuple[list[str], list[str]]:
     """Template tokens and the lower-cased words behind them.
 
-    A capitalised word is a name unless it begins a sentence, or the text, or is all capitals with its
-    neighbour (shouting); a unit counts as such only right after a number.
+    Numbers are figures or number words. A capitalised word inside a sentence is a name; one that begins a sentence, or the text, is a name unless it
+    is in `common`, the words that the benchmark writes in lower case (so that a word means the same in every text; without
+    `common` none is). Words in capitals are no names, nor is what follows them; a unit counts as such only right after a number.
     """
     template, raw = [], []
     start, number, shout = True, False, False
@@ -61,13 +62,13 @@ def tokens(text: str | None) -> tuple[list[str], list[str]]:
             start, number = True, False
             continue
         low = w.lower()
-        if w[0].isdigit():
+        if w[0].isdigit() or low in NUMBERS:
             template.append("<num>")
             number, shout = True, False
         else:
             if number and low in UNITS:
                 template.append("<unit>")
-            elif not start and not shout and w[0] != low[0] and w[1:] == low[1:] and len(w) > 1:
+            elif not shout and w[0] != low[0] and w[1:] == low[1:] and len(w) > 1 and (not start or common is not None and low not in common):
                 template.append("<name>")
             else:
                 template.append(low)
@@ -77,11 +78,15 @@ def tokens(text: str | None) -> tuple[list[str], list[str]]:
     return template, raw
 
 
+def lower_words(texts: list[str | None]) -> frozenset[str]:
+    """Words that some text writes in lower case."""
+    return frozenset(w for t in texts for w in TOKEN.findall(t or "") if w[0].isalpha() and w == w.lower())
+
+
 def collapsed(template: list[str], raw: list[str]) -> tuple[list[str], list[str], list[int]]:
-    """The tokens with number words as numbers and each run of numbers or names as one slot, the words behind them, and where they begin."""
+    """The tokens with each run of numbers or names as one slot, the words behind them, and where they begin."""
     slots, values, places = [], [], []
     for i, (t, w) in enumerate(zip(template, raw, strict=True)):
-        t = "<num>" if t in NUMBERS else t
         if t in ("<num>", "<name>") and slots and slots[-1] == t:
             values[-1] += " " + w
         else:
@@ -99,12 +104,17 @@ class Block:
     item: np.ndarray
     at: np.ndarray
     items: list = field(default_factory=list)  # (item_id, template, raw, number of windows)
+    windows: np.ndarray | None = None  # number of windows of each item
+    width: int = 0  # tokens of a window
     seeds: Block | None = None  # the same items collapsed, with the windows of chains
+    common: frozenset = frozenset()  # words that these items write in lower case
 
     @classmethod
     def of(cls, rows: list[tuple[int, str]], window: int) -> Block:
-        read = [(item_id, *tokens(text)) for item_id, text in rows]
+        common = lower_words([text for _, text in rows])
+        read = [(item_id, *tokens(text, common)) for item_id, text in rows]
         out = cls._of([r for r in read if r[1]], window)
+        out.common = common
         out.seeds = cls._of([(item_id, *collapsed(template, raw)[:2]) for item_id, template, raw in read if template], SEED, True)
         return out
 
@@ -124,47 +134,71 @@ class Block:
             return cls(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
         h = np.concatenate(hs)
         order = np.argsort(h, kind="stable")
-        return cls(h[order], np.concatenate(its)[order], np.concatenate(ats)[order], items)
+        return cls(h[order], np.concatenate(its)[order], np.concatenate(ats)[order], items, np.array([i[3] for i in items]), window)
 
 
 def consistent(item: list[str], doc: list[str], template: list[str]) -> bool:
-    """Whether the slot fillings at aligned places are a one-to-one renaming."""
+    """Whether the slot fillings at aligned places are a renaming: each value becomes one value, and no two names the same one."""
     to: dict[str, str] = {}
     back: dict[str, str] = {}
     for slot, x, y in zip(template, item, doc, strict=True):
-        if slot[0] == "<" and (to.setdefault(x, y) != y or back.setdefault(y, x) != x):
+        if slot[0] == "<" and (to.setdefault(x, y) != y or slot == "<name>" and back.setdefault(y, x) != x):
             return False
     return True
 
 
+#: Shifts whose hits are held at once.
+SHIFTS = 1 << 15
+
+
+def _diagonals(lo: np.ndarray, hi: np.ndarray, block: Block) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(item, shift, places in the item, ascending) of the hits of a document's windows, which are lo to hi of the block's.
+
+    Hits go by blocks of shifts, so that memory doesn't follow the product of a document's and an item's equal windows.
+    """
+    hit = np.flatnonzero(hi > lo)
+    if not len(hit):
+        return
+    longest = int(block.at.max())
+    for begin in range(-longest, len(lo), SHIFTS):
+        p = hit[np.searchsorted(hit, begin) : np.searchsorted(hit, begin + SHIFTS + longest)]
+        count = hi[p] - lo[p]
+        n = int(count.sum())
+        if not n:
+            continue
+        entry = np.arange(n) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo[p], count)
+        item, at = block.item[entry], block.at[entry]
+        shift = np.repeat(p, count) - at
+        here = (shift >= begin) & (shift < begin + SHIFTS)
+        item, at, shift = item[here], at[here], shift[here]
+        order = np.lexsort((at, shift, item))
+        item, at, shift = item[order], at[order], shift[order]
+        edge = np.flatnonzero(np.concatenate([[True], (item[1:] != item[:-1]) | (shift[1:] != shift[:-1])])) if len(item) else order
+        size = np.diff(np.append(edge, len(item)))
+        # fewer windows than COVERAGE or RUN ask for can't make a find
+        enough = size >= np.minimum(COVERAGE * block.windows[item[edge]], np.maximum(1, RUN - block.width + 1))
+        for a, k in zip(edge[enough].tolist(), size[enough].tolist(), strict=True):
+            yield int(item[a]), int(shift[a]), at[a : a + k]
+
+
 def matches(template: list[str], raw: list[str], h: np.ndarray, block: Block, window: int) -> dict[int, tuple]:
     """(item_id, windows found, windows of the item, longest run of tokens, slots, shift) of the items, by place, found in a document on one shift."""
     if not len(h) or not len(block.hashes):
         return {}
-    lo, hi = np.searchsorted(block.hashes, h, "left"), np.searchsorted(block.hashes, h, "right")
-    hit = np.flatnonzero(hi > lo)
-    by_line: dict[tuple[int, int], list[int]] = defaultdict(list)
-    for p in hit.tolist():
-        for e in range(int(lo[p]), int(hi[p])):
-            by_line[int(block.item[e]), p - int(block.at[e])].append(int(block.at[e]))
     best: dict[int, tuple] = {}
-    for (i, shift), ats in by_line.items():
+    for i, shift, ats in _diagonals(np.searchsorted(block.hashes, h, "left"), np.searchsorted(block.hashes, h, "right"), block):
         item_id, it_template, it_raw, n = block.items[i]
         width = min(window, len(it_template))
-        ats = sorted(ats)
-        run = longest = 1
-        for a, b in zip(ats, ats[1:]):
-            run = run + 1 if b == a + 1 else 1
-            longest = max(longest, run)
-        places = sorted({a + j for a in ats for j in range(width)})
-        spots = [j for j in places if j + shift < len(raw)]
+        breaks = np.flatnonzero(np.diff(ats) != 1)
+        longest = int(np.diff(np.concatenate([[-1], breaks, [len(ats) - 1]])).max())
+        if not (len(ats) / n >= COVERAGE or longest + width - 1 >= RUN) or i in best and len(ats) <= best[i][1]:
+            continue
+        places = np.unique(ats[:, None] + np.arange(width))
+        spots = places[places + shift < len(raw)].tolist()
         slot = [it_template[j] for j in spots]
         mine, theirs = [it_raw[j] for j in spots], [raw[j + shift] for j in spots]
-        ok = consistent(mine, theirs, slot)
-        found = (len(ats) / n >= COVERAGE or longest + width - 1 >= RUN) and ok
         # a template of little but placeholders says nothing, unless the words behind it agree
-        found = found and (mine == theirs or 2 * sum(s[0] != "<" for s in slot) >= len(slot))
-        if found and (i not in best or len(ats) > best[i][1]):
+        if consistent(mine, theirs, slot) and (mine == theirs or 2 * sum(s[0] != "<" for s in slot) >= len(slot)):
             best[i] = (item_id, len(ats), n, longest + width - 1, sum(s[0] == "<" for s in slot), shift)
     return best
 
@@ -279,6 +313,7 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, win
 
     The benchmark is the query set: it is read in blocks of bounded size, each held by every task.
     """
+    bounded_batches(spark)
     size = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-size // BLOCK_CHARS))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
@@ -301,14 +336,14 @@ def _searched(docs: DataFrame, shared, window: int) -> DataFrame:
         vocabulary = {t: h for t, h in zip(known, hash_strings(known), strict=True)}
         get = vocabulary.get
         number, name = (int(x) for x in hash_strings(["<num>", "<name>"]))
-        fold = {**vocabulary, **dict.fromkeys(NUMBERS, number), "<num>": number, "<name>": name}.get
+        fold = {**vocabulary, "<num>": number, "<name>": name}.get
         shortest = min((len(i[1]) for i in block.items), default=0)
         widths = sorted({min(window, len(it[1])) for it in block.items if len(it[1]) < window} | {window})
         for b in batches:
             ids, texts, got = b.column(0).to_pylist(), b.column(1).to_pylist(), []
             for lo, hi in chunks(texts):
                 for i in range(lo, hi):
-                    template, raw = tokens(texts[i])
+                    template, raw = tokens(texts[i], block.common)
                     if not template or len(template) < min(window, shortest):
                         continue
                     w = np.fromiter((get(t, 0) for t in template), dtype=np.uint64, count=len(template))
@@ -337,5 +372,6 @@ def _windows(w: np.ndarray, width: int) -> np.ndarray:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """`docs` without the documents in which an item was found. Rows with a null doc_id stay."""
-    bad = contaminated(spark, docs, benchmark, window).select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"] == F.col("bad_id"), "left_anti")
+    name = unused("bad_id", docs)
+    bad = contaminated(spark, docs, benchmark, window).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(bad, docs["doc_id"] == F.col(name), "left_anti")
