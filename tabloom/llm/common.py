@@ -97,13 +97,13 @@ def small(df: DataFrame, rows: int, bytes_per_row: int) -> DataFrame:
 HOT_KEYS = 50_000
 
 
-def lookup(rows: DataFrame, table: DataFrame, on: str | list[str], total: int, bytes_per_row: int = 64) -> DataFrame:
+def lookup(rows: DataFrame, table: DataFrame, on: str | list[str], total: int, bytes_per_row: int = 64, split: bool = False) -> DataFrame:
     """`rows` inner-joined with `table`, which has each key once and in `n` how many of the `total` rows have it.
 
-    A small table is broadcast. Of a large one only the keys with more than total / HOT_KEYS rows are, which are fewer than HOT_KEYS;
+    A small table is broadcast, unless `split` asks for one plan at every size. Of a large one only the keys with more than total / HOT_KEYS rows are, which are fewer than HOT_KEYS;
     the other keys are shuffled, so that no key brings more than that share of the rows to one task.
     """
-    if total * bytes_per_row <= BROADCAST_BYTES:  # as many keys at the most
+    if not split and total * bytes_per_row <= BROADCAST_BYTES:  # as many keys at the most
         return rows.join(F.broadcast(table.drop("n")), on)
     hot, cold = (table.where(F.col("n") > total // HOT_KEYS), table.where(F.col("n") <= total // HOT_KEYS))
     left = rows.join(F.broadcast(hot.select(on)), on, "left_anti")

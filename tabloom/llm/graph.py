@@ -9,10 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, Scratch, chunks, lookup, parts, small
+from .common import Scratch, chunks, lookup, parts, small
 
 #: Members that one task compares with one leader's text before another copy of it is sent.
-SALT_ROWS = 2_000
+SALT_ROWS = 500
 EDGES = "a long, b long"
 
 
@@ -111,10 +111,8 @@ def classes(spark: SparkSession, scratch: Scratch, bands: DataFrame, texts: Call
     close = f"least(a_size, b_size) >= {similarity} * greatest(a_size, b_size) - 1e-6"
     shared = bands.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct("node", "size")).alias("p")).where("n > 1")
     shared = scratch.put(shared.select("band", "n", F.col("p.node").alias("a"), F.col("p.size").alias("a_size")), "shared")
-    facts = shared.agg(F.count("*").alias("k"), F.sum("n").alias("n")).first()
-    n = facts["n"] or 0
-    members = bands.join(F.broadcast(shared.drop("n")), "band") if facts["k"] * 48 <= BROADCAST_BYTES else lookup(bands, shared, "band", n)
-    members = scratch.put(members.select("band", "node", "size", "a", "a_size"), "members")
+    n = shared.agg(F.sum("n")).first()[0] or 0
+    members = scratch.put(lookup(bands, shared, "band", n, split=True).select("band", "node", "size", "a", "a_size"), "members")
     stored = scratch.put(texts(members.select("node").distinct()), "texts")
 
     def edges(pairs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
@@ -128,7 +126,7 @@ def classes(spark: SparkSession, scratch: Scratch, bands: DataFrame, texts: Call
         own = scratch.put(members.select("band", "node", "size").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "own")
         wide = own.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
         wide = scratch.put(wide.select("band", "n"), "wide")
-        out = _with_common(scratch.put(lookup(own, wide, "band", wide.agg(F.sum("n")).first()[0] or 0), "open"), stored, prepare, scratch, similarity)
+        out = _with_common(scratch.put(lookup(own, wide, "band", wide.agg(F.sum("n")).first()[0] or 0, split=True), "open"), stored, prepare, scratch, similarity)
         return out, out.count()
 
     def named(x: str, of: str = "") -> list:

@@ -146,8 +146,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, similarity
     least = node.groupBy("label").agg(F.min("rep").alias("class_id"), F.count("*").alias("n"), F.sum("copies").alias("docs")).where("docs > 1")
     least = scratch.put(least.select("label", "class_id", "n", "docs"), "least")
     k = least.agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).first()
-    by_key = scratch.put(lookup(node, least.drop("docs"), "label", k["n"] or 0).select("key", "class_id", F.col("copies").alias("n")), "keys")
-    by_doc = lookup(sketched.where("key is not null").select("doc_id", "key"), by_key, "key", k["docs"] or 0).groupBy("doc_id").agg(F.min_by("class_id", "key").alias("class_id"))
+    by_key = scratch.put(lookup(node, least.drop("docs"), "label", k["n"] or 0, split=True).select("key", "class_id", F.col("copies").alias("n")), "keys")
+    by_doc = lookup(sketched.where("key is not null").select("doc_id", "key"), by_key, "key", k["docs"] or 0, split=True).groupBy("doc_id").agg(F.min_by("class_id", "key").alias("class_id"))
     by_doc = scratch.put(by_doc.where("class_id <> doc_id"), "moved")
     by_doc = small(by_doc, by_doc.count(), 32)
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(by_doc, "doc_id", "left")
