@@ -50,3 +50,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables under `sf_dir`, by any path that Spark can read."""
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """`df` computed and written to the folder in `spark.checkpoint.dir`, so that long chains of rules are planned piece by piece and a lost executor costs no rerun.
+
+    Where the folder is unset (tests, on one machine) it is one of our own; on a cluster that is an error.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        there = sc.getConf().get("spark.checkpoint.dir")
+        if not there and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(there or f"file://{tempfile.mkdtemp(prefix='tabloom-')}")
+    return df.checkpoint()
