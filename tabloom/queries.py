@@ -426,12 +426,16 @@ def transposed_report(spark, sf):
     return P.map_transposed(P.parse(docs).drop("title"), aliases, ["region", "nations", "keys"]).select("region", "nations", "keys")
 
 
-@query("""SELECT n_nationkey, n_name AS term, 100.0::DOUBLE AS score FROM nation WHERE n_nationkey < 6""")
+@query()
 def fuzzy_title_join(spark, sf):
+    """Titles of parts and nations, some misspelt or with words around, against all nations' names at the production threshold."""
     n = table(spark, sf, "nation")
-    terms = [r["n_name"] for r in n.where("n_nationkey < 6").orderBy("n_nationkey").collect()]  # a title filter's few terms
-    hit = n.select("n_nationkey", best_term(F.lower("n_name"), terms, 99.0).alias("b"))
-    return hit.where("b.term is not null").select("n_nationkey", "b.term", "b.score")
+    terms = [r["n_name"] for r in n.orderBy("n_nationkey").collect()]  # a title filter's terms
+    parts = table(spark, sf, "part").join(n, F.col("p_partkey") % 25 == F.col("n_nationkey"))
+    k = F.col("p_partkey") % 4
+    title = F.when(k == 0, F.lower("n_name")).when(k == 1, F.concat(F.lit("Exports of "), "n_name", F.lit(" by month"))).when(k == 2, F.concat(F.substring("n_name", 1, 3), F.substring("n_name", 5, 20))).otherwise(F.col("p_name"))
+    hit = parts.select("p_partkey", title.alias("title")).withColumn("b", best_term(F.col("title"), terms, 90.0))
+    return hit.where("b.term is not null").select("p_partkey", "title", "b.term", "b.score")
 
 
 META = [Field("contact", patterns=(r"([0-9a-z._]+@[a-z0-9.]+)",)), Field("licence", category_patterns=(r"(?i)licensed under the ([A-Z][A-Za-z ]+?)(?:,|\.)",), default="unknown"), Field("none", patterns=(r"\bnever-there-\d\b",), required=True)]

@@ -150,3 +150,15 @@ def test_inferred_types_units_hints(spark):
     assert "Th.ha." in units[0] and "kg" in units[2] and all(len(u) < 20 for u in units[1])
     f = spark.createDataFrame([("General",), ("yyyy-mm-dd",), ("#,##0.00 €",), ("0%",), ("hh:mm",), (None,), ("0.0",)], "f string")
     assert [r[0] for r in f.select(R.format_hint("f")).collect()] == [None, "date", "currency", "percentage", None, None, None]
+
+
+def test_titles_against_brute_force(spark):
+    from tabloom.operators.fuzzy import best_term, weighted_ratio
+
+    terms = ["FRANCE", "GERMANY", "UNITED STATES", "UNITED KINGDOM"]
+    titles = ["france", "Exports of Germany by month", "frnce", "states united", "UNITED", "x", None, "germani"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in titles], "t string").select(best_term(F.col("t"), terms, 80.0)).collect()]
+    for t, g in zip(titles, got):
+        scores = [weighted_ratio((t or "").lower(), x.lower()) for x in terms]
+        best = max(scores)
+        assert (g["term"], g["score"]) == ((terms[scores.index(best)], best) if t is not None and best >= 80 else (None, None)) if g is not None else best < 80
