@@ -110,6 +110,15 @@ def lookup(rows: DataFrame, table: DataFrame, on: str | list[str], total: int, b
     return rows.join(F.broadcast(hot.drop("n")), on).unionByName(left.join(cold.drop("n"), on))
 
 
+def rows_of(docs: DataFrame, asked: DataFrame, doc: str, n: int) -> DataFrame:
+    """`docs` joined with `asked`, which has what is wanted of n documents in one row for each (`doc`), by one plan at every size.
+
+    Texts are wide, so those that nobody asks for are left out before the others are shuffled, while the ids of the asked ones can be broadcast.
+    """
+    ids = small(asked.select(F.col(doc).alias("tb_asked")), n, 16)
+    return docs.join(ids, F.col("doc_id") == F.col("tb_asked"), "left_semi").join(asked.hint("merge"), F.col("doc_id") == F.col(doc))
+
+
 def unused(name: str, *frames: DataFrame) -> str:
     """`name`, made longer until no column of the frames is called that."""
     taken = {c.lower() for df in frames for c in df.columns}

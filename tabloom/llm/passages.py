@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, U, Words, as_long, bounded_batches, chunks, distinct, lookup, mix, shingles, small, unused
+from .common import WORD, Scratch, U, Words, as_long, bounded_batches, chunks, distinct, lookup, mix, rows_of, shingles, unused
 from .graph import classes
 
 MIN_WORDS, BLOCK, WINNOW = 40, 25, 26
@@ -131,8 +131,7 @@ def _extended(scratch: Scratch, src: DataFrame, shared: DataFrame, total: int) -
     ends = marked.groupBy("hash").agg(F.max("left").alias("l"), F.max("right").alias("r"), F.count("*").alias("n")).where("l or r")
     asked = lookup(marked, scratch.put(ends, "ends"), "hash", total, split=True)
     per = scratch.put(asked.groupBy(F.col("doc_id").alias("doc")).agg(F.collect_list(F.struct("first", "hash", "left", "right", "l", "r")).alias("asked")), "asked")
-    n = per.agg(F.count("*").alias("n"), F.sum(F.size("asked")).alias("k")).first()
-    got = src.join(small(per, 1, n["n"] * 64 + (n["k"] or 0) * 32), F.col("doc_id") == F.col("doc")).select("doc_id", "text", "asked")
+    got = rows_of(src, per, "doc", per.count()).select("doc_id", "text", "asked")
     names = ["hash", "side", "context", "doc_id", "first", "own", "key", "words"]
 
     def cut(batches):
@@ -268,8 +267,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, scratch: Scratch, simil
     def texts(wanted: DataFrame) -> DataFrame:
         per = node.join(wanted, "node").groupBy(F.col("at.doc_id").alias("doc")).agg(F.collect_list(F.struct(F.col("at.first").alias("first"), F.col("at.n").alias("n"), "node", "key")).alias("want"))
         per = scratch.put(per, "wanted")
-        n = per.agg(F.count("*").alias("n"), F.sum(F.size("want")).alias("k")).first()
-        asked = src.join(small(per, 1, n["n"] * 64 + (n["k"] or 0) * 72), F.col("doc_id") == F.col("doc")).select("text", "want")
+        asked = rows_of(src, per, "doc", per.count()).select("text", "want")
 
         def cut(batches):
             for b in batches:
