@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import re
 import tempfile
 import uuid
@@ -51,6 +52,25 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+@contextlib.contextmanager
+def hashed_joins(spark: SparkSession) -> Iterator[None]:
+    """Within, joins whose partitions turn out to be HASHED_BYTES or less are hashed instead of sorted; the session's setting comes back afterwards."""
+    key = "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(HASHED_BYTES))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+#: A partition of the side that a join hashes, at the most.
+HASHED_BYTES = 16 << 20
+
+
 class Scratch:
     """Cuts lineage by written tables in the shared folder, so that a lost executor costs no rerun.
 

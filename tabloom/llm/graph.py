@@ -109,8 +109,9 @@ def classes(spark: SparkSession, scratch: Scratch, bands: DataFrame, texts: Call
     are checked one by one, so no link that joins two classes is lost and pairs within a class are never expanded.
     """
     close = f"least(a_size, b_size) >= {similarity} * greatest(a_size, b_size) - 1e-6"
-    shared = bands.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct("node", "size")).alias("p")).where("n > 1")
-    shared = scratch.put(shared.select("band", "n", F.col("p.node").alias("a"), F.col("p.size").alias("a_size")), "shared")
+    # numbers alone, no struct: these are aggregated by hash, without a sort
+    shared = bands.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.min_by("size", "node").alias("a_size")).where("n > 1")
+    shared = scratch.put(shared, "shared")
     n = shared.agg(F.sum("n")).first()[0] or 0
     members = scratch.put(lookup(bands, shared, "band", n, split=True).select("band", "node", "size", "a", "a_size"), "members")
     stored = scratch.put(texts(members.select("node").distinct()), "texts")
@@ -175,31 +176,66 @@ def _with_common(still: DataFrame, stored: DataFrame, prepare, scratch: Scratch,
     which that is too small can't reach `similarity`; leaving those out is exact. It keeps a cloud of
     copies, each with edits of its own, from being compared with one another.
     """
-    schema = pa.schema([("s", pa.int64()), ("node", pa.int64())])
+    spark = still.sparkSession
+    # hashes go by ranges of their own to the tasks that count them, and counts by node from there, both packed: a row for each batch and range
+    fine = max(0, (parts(spark) - 1).bit_length() - PARTS.bit_length() + 1)
+    ranges, ends = PARTS << fine, parts(spark)
+
+    def packed(to: np.ndarray, n: int, key: str, *columns: np.ndarray) -> pa.RecordBatch:
+        """Rows (key, a binary of each column) of the values that go to each of the n receivers."""
+        by = np.argsort(to, kind="stable")
+        at = np.searchsorted(to[by], np.arange(n + 1))
+        there = np.flatnonzero(np.diff(at))
+        out = [[c[at[i] : at[i + 1]].tobytes() for i in there.tolist()] for c in (c[by] for c in columns)]
+        return pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), *[pa.array(o, pa.binary()) for o in out]], names=[key, "x", "y"])
+
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes, bytes]]:
+        """Key and values of each receiver, from rows sorted by key."""
+        key, xs, ys = None, [], []
+        for batch in batches:
+            for k, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k != key:
+                    if xs:
+                        yield key, b"".join(xs), b"".join(ys)
+                    key, xs, ys = k, [], []
+                xs.append(x)
+                ys.append(y)
+        if xs:
+            yield key, b"".join(xs), b"".join(ys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for lo, hi in chunks(texts):
-                part, sets = batch.slice(lo, hi - lo), prepare(texts[lo:hi])
-                nodes = np.repeat(part.column(0).to_numpy(), [len(x) for x in sets])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(nodes)], schema=schema)
+                sets = prepare(texts[lo:hi])
+                nodes = np.repeat(batch.column(0).to_numpy()[lo:hi], [len(x) for x in sets])
+                s = np.concatenate(sets)
+                yield packed((s >> np.uint64(64 - ranges.bit_length() + 1)).astype(np.int32), ranges, "range", s, nodes)
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, s, nodes in grouped(batches):
+            s, nodes = np.frombuffer(s, np.uint64), np.frombuffer(nodes, np.int64)
+            by = np.argsort(s)
+            new = np.ones(len(s) + 1, dtype=bool)
+            np.not_equal(s[by][1:], s[by][:-1], out=new[1:-1])
+            node, n = np.unique(nodes[by][~(new[1:] & new[:-1])], return_counts=True)
+            yield packed(node % ends, ends, "end", node, n * PARTS + (key >> fine))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for lo, hi in chunks(texts):
-                part, out = batch.slice(lo, hi - lo), []
-                for x, alone in zip(prepare(texts[lo:hi]), part.column(2).to_pylist(), strict=True):
-                    x = x.view(np.int64)
-                    x = x[~np.isin(x, np.array(alone, dtype=np.int64))] if alone else x
-                    out.append(np.bincount(x.view(np.uint64) >> np.uint64(57), minlength=PARTS).tolist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.list_(pa.int32()))], names=["node", "common"])
+        for _, node, n in grouped(batches):
+            node, n = np.frombuffer(node, np.int64), np.frombuffer(n, np.int64)
+            nodes, row = np.unique(node, return_inverse=True)
+            for lo in range(0, len(nodes), 1000):
+                here = (row >= lo) & (row < lo + 1000)
+                out = np.zeros((min(1000, len(nodes) - lo), PARTS), dtype=np.int32)
+                np.add.at(out, (row[here] - lo, n[here] % PARTS), (n[here] // PARTS).astype(np.int32))
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * PARTS, pa.int32()), pa.array(out.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[lo : lo + 1000]), flat], names=["node", "common"])
 
     open_texts = stored.join(still.select("node").distinct(), "node").select("node", "text")
-    each = open_texts.mapInArrow(run, "s long, node long")
-    alone = each.groupBy("s").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1").groupBy("node").agg(F.collect_list("s").alias("alone"))
-    common = open_texts.join(alone, "node", "left").mapInArrow(counted, "node long, common array<int>")
+    each = open_texts.mapInArrow(run, "range int, x binary, y binary").repartition(parts(spark), "range").sortWithinPartitions("range")
+    both = each.mapInArrow(shared, "end int, x binary, y binary").repartition(parts(spark), "end").sortWithinPartitions("end")
+    common = both.mapInArrow(counted, "node long, common array<int>")
     return scratch.put(still.join(common, "node").where(_total("common") >= similarity * F.col("size") - 1e-6), "common")
 
 

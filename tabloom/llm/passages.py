@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, U, Words, as_long, bounded_batches, chunks, distinct, lookup, mix, rows_of, shingles, unused
+from .common import WORD, Scratch, U, Words, as_long, bounded_batches, chunks, distinct, hashed_joins, lookup, mix, rows_of, shingles, unused
 from .graph import classes
 
 MIN_WORDS, BLOCK, WINNOW = 40, 25, 26
@@ -110,6 +110,15 @@ def _spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
 
 
+def _distinct(s: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """How many different hashes there are among the first n[0] of `s`, the next n[1] and so on."""
+    whole = np.repeat(np.arange(len(n)), n)
+    own = mix(s ^ mix(whole.astype(np.uint64) + U(1)))  # one sort of plain numbers
+    order = np.argsort(own)
+    t = own[order]
+    return n - np.bincount(whole[order[1:][t[1:] == t[:-1]]], minlength=len(n))
+
+
 def _extended(scratch: Scratch, src: DataFrame, shared: DataFrame, total: int) -> DataFrame:
     """(doc_id, first, n, hash, keeper): the outermost shared blocks of documents with what they have in common with others beyond their ends.
 
@@ -238,10 +247,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, scratch: Scratch, simil
                     continue
                 s = shingles(got.h, 5)[_spread(first, n - 4)]
                 begin = np.cumsum(n - 4) - (n - 4)
-                whole = np.repeat(np.arange(len(n)), n - 4)
-                order = np.lexsort((s, whole))
-                again = (s[order][1:] == s[order][:-1]) & (whole[order][1:] == whole[order][:-1])
-                size = n - 4 - np.bincount(whole[order][1:][again], minlength=len(n))
+                size = _distinct(s, n - 4)
                 keys = [hashlib.md5(got.h[x : x + k].tobytes()).digest() for x, k in zip(first.tolist(), n.tolist(), strict=True)]
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * BANDS, pa.int32()), pa.array(as_long(minhash_bands(s, begin)).ravel()))
                 yield batch_of(len(n), doc_id=pa.array(whose[text]), first=pa.array(first - got.first[text]), n=pa.array(n), size=pa.array(size.astype(np.int32)), key=pa.array(keys, pa.binary()), bands=bands)
@@ -343,7 +349,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, similarity: float =
     count as one document. Only doc_id and text are read. An empty table gives an empty result.
     """
     scratch = Scratch(spark, "passages")
-    spans = repeated_spans(spark, docs, scratch, similarity)
+    with hashed_joins(spark):
+        spans = repeated_spans(spark, docs, scratch, similarity)
     per = spans.groupBy("doc_id").agg(F.collect_list(F.struct("first", "n", "paragraph", "class", "keeper")).alias("spans"))
     names = [x.split()[0] for x in ("doc_id", "n_repeated_words", "n_removed_words", "spans", "removed_spans", "class_ids", "keepers")]
 

@@ -75,6 +75,29 @@ def test_components_against_union_find(spark, monkeypatch, bound):
 # --- 1 ---
 
 
+def test_common_shingles_against_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(23)
+    pool = [K.mix(rng.integers(1, 1 << 62, 400).astype(np.uint64)) for _ in range(3)]
+    sets = {i: np.unique(np.concatenate([rng.choice(pool[i % 3], 120 + i), K.mix(rng.integers(1, 1 << 62, i % 7).astype(np.uint64))])) for i in range(40)}
+    stored = spark.createDataFrame([(1 << 33 | i, str(i)) for i in sets], "node long, text string")
+    still = stored.select("node", F.lit(1).alias("size"))
+    plans = []
+    put = K.Scratch.put
+    monkeypatch.setattr(K.Scratch, "put", lambda self, df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or put(self, df, name))
+    got = {r["node"] & 0xFF: r["common"] for r in G._with_common(still, stored, lambda texts: [sets[int(t)] for t in texts], K.Scratch(spark, "test"), 0.1).collect()}
+    times = {}
+    for x in sets.values():
+        for h in x.tolist():
+            times[h] = times.get(h, 0) + 1
+    for i, x in sets.items():
+        both = np.array([h for h in x.tolist() if times[h] > 1], dtype=np.uint64)
+        assert got[i] == np.bincount((both >> np.uint64(57)).astype(int), minlength=G.PARTS).tolist()
+    assert "collect_list" not in "".join(plans)  # no row for each shingle
+    n = rng.integers(1, 50, 200)
+    s = rng.integers(0, 40, n.sum()).astype(np.uint64)
+    assert P._distinct(s, n).tolist() == [len(set(x.tolist())) for x in np.split(s, np.cumsum(n)[:-1])]
+
+
 def test_questions_with_other_names_and_numbers(spark):
     item = "Bob has 5 apples. Ann has 7 pears. Bob gives Ann 2 apples. How many does Ann have now?"
     bench = spark.createDataFrame([(0, item), (1, "A farmer sells 5 apples and 3 pears to the baker before the market closes at noon on the last day")], "item_id long, text string")
