@@ -305,7 +305,8 @@ def forward_fill_headers(spark, sf):
 @query("""WITH e AS (SELECT user_id, epoch(ts)::BIGINT AS s FROM events), m AS (SELECT user_id, CASE WHEN s - lag(s) OVER (PARTITION BY user_id ORDER BY s) > 3600 THEN 1 ELSE 0 END AS new FROM e)
 SELECT user_id, sum(new)::BIGINT + 1 AS clusters FROM m GROUP BY user_id""")
 def gap_clusters(spark, sf):
-    e = table(spark, sf, "events").select("user_id", F.unix_timestamp("ts").alias("s"))
+    since = "cast(cast(ts AS timestamp_ntz) - timestamp_ntz'1970-01-01' AS interval second)"
+    e = table(spark, sf, "events").select("user_id", F.expr(f"bround(cast({since} AS decimal(20, 6)))").cast("long").alias("s"))  # to the nearest second, halves to even
     return G.islands(e, ["user_id"], "s", 3600).groupBy("user_id").agg((F.max("cluster") + 1).cast("long").alias("clusters"))
 
 
