@@ -435,7 +435,9 @@ def fuzzy_title_join(spark, sf):
     parts = table(spark, sf, "part").join(n, F.col("p_partkey") % 25 == F.col("n_nationkey"))
     k = F.col("p_partkey") % 4
     title = F.when(k == 0, F.lower("n_name")).when(k == 1, F.concat(F.lit("Exports of "), "n_name", F.lit(" by month"))).when(k == 2, F.concat(F.substring("n_name", 1, 3), F.substring("n_name", 5, 20))).otherwise(F.col("p_name"))
-    hit = parts.select("p_partkey", title.alias("title")).withColumn("b", best_term(F.col("title"), terms, 90.0))
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    titles = parts.select("p_partkey", title.alias("title")).repartition(tasks)  # a small file is one task's, its titles are not
+    hit = titles.withColumn("b", best_term(F.col("title"), terms, 90.0))
     return hit.where("b.term is not null").select("p_partkey", "title", "b.term", "b.score")
 
 

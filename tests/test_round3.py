@@ -1,11 +1,15 @@
 """Queries against their SQL on tables where an earlier version failed."""
 
 import datetime as dt
+import random
 from collections import Counter
 
 import duckdb
+from pyspark.sql import functions as F
 
 from tabloom import queries as Q
+from tabloom.operators import fuzzy
+from tabloom.operators.fuzzy import best_term
 
 
 def same_as_sql(spark, name, folder, *tables):
@@ -22,3 +26,32 @@ def test_gap_clusters_parts_of_seconds(spark, tmp_path):
     rows = [(u, dt.datetime(1970, 1, 1) + dt.timedelta(seconds=s)) for u, seconds in at.items() for s in seconds] + [(6, None), (7, None)]
     spark.createDataFrame(rows, "user_id long, ts timestamp_ntz").write.parquet(f"{tmp_path}/events.parquet")
     same_as_sql(spark, "gap_clusters", tmp_path, "events")
+
+
+def test_titles_below_a_filter_are_scored_once(spark):
+    """The filter was moved below the projection and scored all titles once more."""
+    hit = spark.createDataFrame([(i, f"title {i % 3}") for i in range(30)], "i int, t string").withColumn("b", best_term(F.col("t"), ["title 1", "title 2"], 100.0)).where("b.term is not null").select("i", "b.term")
+    assert hit._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert Counter(r[1] for r in hit.collect()) == {"title 1": 10, "title 2": 10}
+
+
+def test_scores_out_of_reach_are_not_worked_out(monkeypatch):
+    """A score at or above `least` is the whole one; what can't reach it takes no subsequence (106 of them before)."""
+    rng, tried = random.Random(3), []
+    words = ["a", "ab", "ba", "nation_1", "nation_10", "of", "x y", "\t", ""]
+    for _ in range(2000):
+        a, b = (" ".join(rng.choice(words) for _ in range(rng.randint(0, 5))) for _ in "ab")
+        whole = fuzzy.weighted_ratio(a, b)
+        for least in (whole, 85.5, 90.0, 95.0, 100 * rng.random()):
+            got = fuzzy.weighted_ratio(a, b, least)
+            assert got == whole if whole >= least else got < least
+    monkeypatch.setattr(fuzzy, "ratio", lambda a, b: tried.append((a, b)) or 0.0)
+    assert fuzzy.weighted_ratio("exports of nation_1 by month", "nation_2", 90.0) == 0.0 and not tried
+
+
+def test_titles_of_one_file_are_dealt_out(spark, tmp_path):
+    """All titles were scored by the task that read them."""
+    spark.createDataFrame([(i, f"NATION_{i}") for i in range(25)], "n_nationkey int, n_name string").coalesce(1).write.parquet(f"{tmp_path}/nation.parquet")
+    spark.range(400).selectExpr("id AS p_partkey", "'red bolt' AS p_name").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    got = Q.fuzzy_title_join(spark, str(tmp_path))
+    assert got.rdd.getNumPartitions() >= 4 and got.count() == 300
