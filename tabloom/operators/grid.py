@@ -11,7 +11,8 @@ from ..functions.text import cell_type, col
 def islands(df: DataFrame, part: list[str], order: str, gap: float, out: str = "cluster") -> DataFrame:
     """Numbers runs whose neighbours are at most `gap` apart (rows, y clusters, blank runs, title groups)."""
     w = Window.partitionBy(*part).orderBy(order)
-    new = (F.col(order) - F.lag(order).over(w) > gap).cast("int")
+    before = F.lag(order).over(w)
+    new = ((F.col(order) > before) & (F.col(order) - before > gap)).cast("int")  # equal ones, infinite ones too, are of one run
     return df.withColumn(out, F.coalesce(F.sum(new).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
 
 

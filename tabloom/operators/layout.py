@@ -5,7 +5,9 @@ A page is the unit of work everywhere: windows and joins are keyed by it, so no
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import groupby
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -23,12 +25,12 @@ def page_layout(spans: DataFrame, row_gap: float = 2.0, part: list[str] = PAGE)
     `cell_w` is the page's median width of a character over texts of two or more (6 if there are none). Rows are runs of
     distinct y whose neighbours are at most `row_gap` apart; columns count cells from the least x, halves to even.
     """
-    kept = spans.where("trim(text) <> ''")
-    wide = F.median(F.when(F.length("text") >= 2, F.col("width") / F.length("text")))
-    page = kept.groupBy(*part).agg(F.coalesce(wide, F.lit(6.0)).alias("cell_w"), F.min("x").alias("x_min"))
-    rows = G.islands(kept.select(*part, "y").distinct(), part, "y", row_gap, "row").withColumn("row", F.col("row").cast("int"))
-    out = kept.join(rows, [*part, "y"]).join(page, part)
-    return out.withColumn("col", F.bround((F.col("x") - F.col("x_min")) / F.col("cell_w")).cast("int")).drop("x_min")
+    known = reduce(and_, (F.col(c).isNotNull() for c in part))
+    kept = spans.where("trim(text) <> ''").where(known).withColumn("tb_cell", F.when(F.length("text") >= 2, F.col("width") / F.length("text")))
+    rows = G.islands(kept, part, "y", row_gap, "row").withColumn("row", F.col("row").cast("int"))  # one sort of a page's spans serves all windows
+    page = Window.partitionBy(*part)
+    out = rows.withColumns({"cell_w": F.coalesce(F.median("tb_cell").over(page), F.lit(6.0)), "x_min": F.min("x").over(page)}).where("y is not null")
+    return out.withColumn("col", F.bround((F.col("x") - F.col("x_min")) / F.col("cell_w")).cast("int")).drop("x_min", "tb_cell")
 
 
 def column_tolerance(cell_w: Column | str) -> Column:
@@ -96,12 +98,23 @@ def side_by_side(columns: DataFrame, part: list[str] = PAGE, start: str = "start
     return j.withColumn("grid", F.coalesce(F.sum("cut").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))).drop("gap", "mid", "cut")
 
 
-def transposed(spans: DataFrame, n_columns: DataFrame, tolerance: int = 3, part: list[str] = PAGE) -> DataFrame:
-    """(part, is_transposed): three rows or more, five columns at most, even span counts, a first column that stays at the left."""
-    rows = spans.groupBy(*part, "row").agg(F.count("*").alias("n"), F.min("col").alias("first"))
-    stats = rows.groupBy(*part).agg(F.count("*").alias("rows"), F.var_pop("n").alias("spread"), F.avg((F.col("first") <= tolerance).cast("int")).alias("left"))
+def transposed(spans: DataFrame, n_columns: DataFrame | None = None, tolerance: int = 3, part: list[str] = PAGE) -> DataFrame:
+    """(part, is_transposed): three rows or more, five columns at most, even span counts, a first column that stays at the left.
+
+    `n_columns` has each page's number of columns; without it that of its distinct `col` counts. Windows do it all: their sorts spill, where tables of
+    all rows of a task's pages, partial and final ones of each aggregate, stay in memory side by side.
+    """
+    page, row = Window.partitionBy(*part), Window.partitionBy(*part, "row")
+    before = F.lag("col").over(page.orderBy("col"))
+    s = spans.select(*part, "row", "col", *([(F.col("col").isNotNull() & (before.isNull() | (before != F.col("col")))).alias("new")] if n_columns is None else []))
+    s = s.withColumns({"lead": F.row_number().over(row.orderBy("row")) == 1, "n": F.count(F.lit(1)).over(row), "first": F.min("col").over(row)})
+    of_rows = {"rows": F.count("n"), "spread": F.var_pop("n"), "left": F.avg((F.col("first") <= tolerance).cast("int")), "top": F.min("row")}
+    s = s.withColumns({"n": F.when(F.col("lead"), F.col("n")), "first": F.when(F.col("lead"), F.col("first"))})
+    if n_columns is None:
+        of_rows["n_columns"] = F.count_if("new")
+    stats = s.withColumns({k: v.over(page) for k, v in of_rows.items()}).where(F.col("lead") & F.col("row").eqNullSafe(F.col("top")))
     ok = (F.col("rows") >= 3) & (F.col("n_columns") <= 5) & (F.col("spread") <= 2.0) & (F.col("left") >= 0.8)
-    return stats.join(n_columns, part).select(*part, ok.alias("is_transposed"))
+    return (stats if n_columns is None else stats.join(n_columns, part)).select(*part, ok.alias("is_transposed"))
 
 
 #: Periods of records that take several rows, in the order tried, and the most header rows before them.

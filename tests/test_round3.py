@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tabloom import queries as Q
 from tabloom.operators import fuzzy
+from tabloom.operators import layout as L
 from tabloom.operators.fuzzy import best_term
 
 
@@ -55,3 +56,28 @@ def test_titles_of_one_file_are_dealt_out(spark, tmp_path):
     spark.range(400).selectExpr("id AS p_partkey", "'red bolt' AS p_name").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     got = Q.fuzzy_title_join(spark, str(tmp_path))
     assert got.rdd.getNumPartitions() >= 4 and got.count() == 300
+
+
+def test_transposed_in_one_pass(spark, tmp_path):
+    """Hash tables of all rows of a task's pages stood side by side, and the spans were shuffled six times."""
+    spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").write.parquet(f"{tmp_path}/lineitem.parquet")
+    plan = Q.transposed_test(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("Sort [") == 3 and "HashAggregate" not in plan
+    same_as_sql(spark, "transposed_test", tmp_path, "lineitem")
+
+
+def test_transposed_with_columns_given(spark):
+    spans = [(1, 0, y, x) for y in range(4) for x in (0, 9)] + [(2, 0, 0, 0), (2, 0, 0, 5), (2, 0, 1, 0)] + [(3, 0, y, 7) for y in range(5)]
+    s = spark.createDataFrame(spans, "doc int, page_no int, row int, col int")
+    wide = s.groupBy("doc", "page_no").agg(F.countDistinct("col").alias("n_columns"))
+    want = [(1, 0, True), (2, 0, False), (3, 0, False)]
+    assert sorted(map(tuple, L.transposed(s, wide).collect())) == sorted(map(tuple, L.transposed(s).collect())) == want
+
+
+def test_equal_places_are_one_row(spark):
+    """Equal y, infinite ones too, are one row; spans without y or page have none."""
+    inf, spans = float("inf"), []
+    for y in (1.0, 1.0, 5.5, inf, inf, None):
+        spans.append((1, 0, 0.0, y, 12.0, "ab"))
+    got = L.page_layout(spark.createDataFrame([*spans, (None, 0, 0.0, 1.0, 12.0, "ab")], "doc int, page_no int, x double, y double, width double, text string"), 4.0)
+    assert sorted((r["doc"], r["y"], r["row"]) for r in got.collect()) == [(1, 1.0, 0), (1, 1.0, 0), (1, 5.5, 1), (1, inf, 2), (1, inf, 2)]
