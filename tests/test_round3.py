@@ -59,7 +59,7 @@ def test_titles_of_one_file_are_dealt_out(spark, tmp_path):
 
 
 def test_transposed_in_one_pass(spark, tmp_path):
-    """Hash tables of all rows of a task's pages stood side by side, and the spans were shuffled six times."""
+    """Hash tables of all rows of a task's pages stood side by side, and the spans were read and shuffled more than once."""
     spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").write.parquet(f"{tmp_path}/lineitem.parquet")
     plan = Q.transposed_test(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and plan.count("Sort [") == 3 and "HashAggregate" not in plan
